@@ -1,0 +1,2 @@
+"""No streaming jobs: the analyses rebuilt here have no stream, watermark or
+state.  The package is kept so that the layout stays the agreed one."""
