@@ -11,7 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from fenloom.session import pieces
+from fenloom.session import cut_lineage, pieces
 
 ROWS_PER_RANGE = 1_000_000
 
@@ -43,7 +43,8 @@ def running_total(
 ) -> DataFrame:
     """One row per (by, order value): its weight and the inclusive running total."""
     by = list(by)
-    per = df.groupBy(*by, order).agg(F.sum(weight).alias(weight))
+    # collapsed rows are read several times (count, range edges, sums): write them once
+    per = cut_lineage(df.groupBy(*by, order).agg(F.sum(weight).alias(weight)))
     per, n = with_ranges(per, order, ranges)
     key = F.col(order).desc() if descending else F.col(order).asc()
     if n == 1:
@@ -123,3 +124,20 @@ def forward_fill(df: DataFrame, cols: Sequence[str], by: Sequence[str], order: s
     return filled.withColumns({c: F.coalesce(F.col(c), F.col(f"_in_{c}")) for c in cols}).drop(
         "_range", *[f"_in_{c}" for c in cols]
     )
+
+
+def suffix_min(df: DataFrame, by: Sequence[str], order: str, value: str, out: str,
+               ranges: int | None = None) -> DataFrame:
+    """Smallest ``value`` among rows at or after each row in ``order``, within ``by``."""
+    by = list(by)
+    ranged, n = with_ranges(df, order, ranges)
+    inner = Window.partitionBy(*by, "_range").orderBy(F.col(order).desc()).rangeBetween(Window.unboundedPreceding, 0)
+    if n == 1:
+        return ranged.withColumn(out, F.min(value).over(inner)).drop("_range")
+    later = Window.partitionBy(*by).orderBy(F.col("_range").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    ends = ranged.groupBy(*by, "_range").agg(F.min(value).alias("_v")).select(
+        *by, "_range", F.min("_v").over(later).alias("_after"))
+    return (
+        ranged.withColumn("_in", F.min(value).over(inner)).join(ends, [*by, "_range"])
+        .withColumn(out, F.least("_in", "_after")).drop("_in", "_after", "_range")
+    )

@@ -6,6 +6,8 @@ from fenloom.plans import (  # noqa: F401  (importing fills the registry)
     tidy,
     summaries,
     community,
+    models,
+    expression,
 )
 
 __all__ = ["QUERIES", "SQL"]
