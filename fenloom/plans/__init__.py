@@ -8,6 +8,7 @@ from fenloom.plans import (  # noqa: F401  (importing fills the registry)
     community,
     models,
     expression,
+    ordination,
 )
 
 __all__ = ["QUERIES", "SQL"]
