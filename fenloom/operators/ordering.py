@@ -141,3 +141,21 @@ def suffix_min(df: DataFrame, by: Sequence[str], order: str, value: str, out: st
         ranged.withColumn("_in", F.min(value).over(inner)).join(ends, [*by, "_range"])
         .withColumn(out, F.least("_in", "_after")).drop("_in", "_after", "_range")
     )
+
+
+def next_value(df: DataFrame, by: Sequence[str], order: str, out: str, ranges: int | None = None) -> DataFrame:
+    """The following ``order`` value within ``by``, NULL on the last row.
+
+    Rows are expected to be distinct in (by, order).
+    """
+    by = list(by)
+    ranged, n = with_ranges(df, order, ranges)
+    inner = Window.partitionBy(*by, "_range").orderBy(order)
+    if n == 1:
+        return ranged.withColumn(out, F.lead(order).over(inner)).drop("_range")
+    firsts = ranged.groupBy(*by, "_range").agg(F.min(order).alias("_first"))
+    after = firsts.select(*by, "_range", F.lead("_first").over(Window.partitionBy(*by).orderBy("_range")).alias("_after"))
+    return (
+        ranged.withColumn("_lead", F.lead(order).over(inner)).join(after, [*by, "_range"])
+        .withColumn(out, F.coalesce("_lead", "_after")).drop("_lead", "_after", "_range")
+    )

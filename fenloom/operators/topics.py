@@ -6,17 +6,16 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.ml.linalg import SparseVector, VectorUDT
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from fenloom.operators.community import RANKS, parse_lineage
-from fenloom.operators.tidy import top_n
+from fenloom.operators.tidy import ordinal_ids, top_n
 from fenloom.session import cut_lineage
 
 
 def feature_index(counts: DataFrame) -> DataFrame:
-    """(feature_id, idx): dense numbers in feature order; the vocabulary of the model."""
-    feats = counts.select("feature_id").distinct()
-    return feats.withColumn("idx", F.row_number().over(Window.orderBy("feature_id")) - 1)
+    """(feature_id, idx): dense numbers from 0 in a stable order; the model's vocabulary."""
+    return ordinal_ids(counts, "feature_id", "", "idx").withColumn("idx", F.col("idx").cast("int") - 1)
 
 
 def sample_vectors(counts: DataFrame, index: DataFrame, size: int) -> DataFrame:

@@ -9,6 +9,7 @@ from fenloom.plans import (  # noqa: F401  (importing fills the registry)
     models,
     expression,
     ordination,
+    reads,
 )
 
 __all__ = ["QUERIES", "SQL"]
