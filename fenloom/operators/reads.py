@@ -15,7 +15,8 @@ from fenloom.operators.summary import frequency
 from fenloom.operators.tidy import keep_max
 from fenloom.session import cut_lineage
 
-PIECE = 10_000  # characters of a sequence worked on as one array
+PIECE = 10_000  # characters of a contig piece
+WORD_PIECE = 500  # characters whose k-mers are listed as one array
 
 
 # ---- reads ---------------------------------------------------------------------------------
@@ -107,18 +108,24 @@ def dereplicate(reads: DataFrame) -> DataFrame:
     return reads.groupBy("sample_id", F.md5("seq").alias("feature_id")).agg(F.count(F.lit(1)).alias("abundance"))
 
 
-def kmer_rows(df: DataFrame, text: str, k: int, out: str = "kmer", piece: int = PIECE) -> DataFrame:
+def kmer_rows(df: DataFrame, text: str, k: int, out: str = "kmer") -> DataFrame:
     """One row per overlapping k-mer of the whole text.
 
-    Long texts are cut into pieces that overlap by k - 1 first, so no array grows with the
-    text and no k-mer is lost.
+    Texts are cut into pieces that overlap by k - 1, so no array grows with a text and no
+    k-mer is lost; pieces, not texts, are spread over the tasks, so one giant sequence is
+    shared out.  (Taking a substring walks the text up to it, hence two sizes of piece.)
     """
-    n = F.length(text)
     keep = [c for c in df.columns if c != text]
-    parts = df.filter(n >= k).select(
-        *keep, text, F.explode(F.sequence(F.lit(0), F.floor((n - k) / F.lit(piece)).cast("int"))).alias("_p"))
-    parts = parts.select(*keep, F.substring(F.col(text), F.col("_p") * piece + 1, F.lit(piece + k - 1)).alias("_t"))
-    return parts.select(*keep, F.explode(kmers("_t", k)).alias(out))
+
+    def cut(rows: DataFrame, size: int) -> DataFrame:
+        n = F.length(text)
+        at = F.explode(F.sequence(F.lit(0), F.floor((n - k) / F.lit(size)).cast("int"))).alias("_p")
+        return rows.filter(n >= k).select(*keep, text, at).select(
+            *keep, F.substring(F.col(text), F.col("_p") * size + 1, F.lit(size + k - 1)).alias(text))
+
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pieces = cut(cut(df, PIECE * 10), WORD_PIECE).repartition(tasks, F.xxhash64(text))
+    return pieces.select(*keep, F.explode(kmers(text, k)).alias(out))
 
 
 def train_classifier(seqs: DataFrame, label: str, k: int) -> tuple[DataFrame, DataFrame]:

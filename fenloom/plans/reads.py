@@ -93,13 +93,19 @@ def z6(spark, sf):
     return R.dereplicate(table(spark, sf, "documents").select(F.col("source").alias("sample_id"), F.col("text").alias("seq")))
 
 
-@query("z7_classify", """
-WITH km AS (SELECT lang, substr(text, p, 5) AS kmer FROM (SELECT lang, text, unnest(range(1, length(text) - 3)) AS p FROM documents)),
+def _kmer_sql(cols, tbl, k):
+    """Every k-mer of the whole text, listed from overlapping pieces of 400."""
+    return f"""(SELECT {cols}, substr(t, p, {k}) AS kmer FROM (SELECT {cols}, t, unnest(range(1, length(t) - {k - 2})) AS p FROM
+  (SELECT {cols}, substr(text, b * 400 + 1, {400 + k - 1}) AS t FROM (SELECT *, unnest(range(0, (length(text) - {k}) // 400 + 1)) AS b
+    FROM {tbl} WHERE length(text) >= {k}))))"""
+
+
+@query("z7_classify", f"""
+WITH km AS {_kmer_sql('lang', 'documents', 5)},
 w AS (SELECT lang, kmer, count(*) AS c FROM km GROUP BY 1, 2),
 sz AS (SELECT lang, sum(c) AS words, any_value(docs) AS docs FROM w JOIN (SELECT lang, count(*) AS docs FROM documents GROUP BY 1) USING (lang) GROUP BY 1),
 v AS (SELECT count(DISTINCT kmer) AS v FROM w),
-qk AS (SELECT item_id, substr(text, p, 5) AS kmer, count(*) AS n FROM
-  (SELECT item_id, text, unnest(range(1, length(text) - 3)) AS p FROM benchmark) GROUP BY 1, 2),
+qk AS (SELECT item_id, kmer, count(*) AS n FROM {_kmer_sql('item_id', 'benchmark', 5)} GROUP BY 1, 2),
 ln AS (SELECT item_id, sum(n) AS len FROM qk GROUP BY 1),
 hit AS (SELECT item_id, lang, sum(n * ln(c + 1)) AS s FROM qk JOIN w USING (kmer) GROUP BY 1, 2),
 sc AS (SELECT item_id, sz.lang, coalesce(s, 0) - len * ln(words + v) + ln(docs / (SELECT sum(docs) FROM sz)) AS score
@@ -120,8 +126,8 @@ LIMIT = K.HASH_SPACE // SCALED
 
 
 def _sketch_sql(name, id_, tbl):
-    return f"""{name} AS (SELECT id, h, count(*) AS abund FROM (SELECT id, ('0x' || substr(md5(substr(text, p, {K_LEN})), 1, 15))::BIGINT AS h
-  FROM (SELECT {id_} AS id, text, unnest(range(1, length(text) - {K_LEN - 2})) AS p FROM {tbl})) WHERE h < {LIMIT} GROUP BY 1, 2)"""
+    return f"""{name} AS MATERIALIZED (SELECT {id_} AS id, h, count(*) AS abund FROM (SELECT {id_}, ('0x' || substr(md5(kmer), 1, 15))::BIGINT AS h
+  FROM {_kmer_sql(id_, tbl, K_LEN)}) WHERE h < {LIMIT} GROUP BY 1, 2)"""
 
 
 def doc_sketches(spark, sf):
@@ -274,22 +280,22 @@ def z18(spark, sf):
 
 
 ALN = """aln AS (SELECT l_suppkey AS ref, l_orderkey * 3 + l_linenumber AS pos, CAST(l_quantity AS BIGINT) AS length,
-  CAST(l_extendedprice AS BIGINT) & 1279 AS flag FROM lineitem)"""
+  CAST(floor(l_extendedprice) AS BIGINT) & 1279 AS flag FROM lineitem)"""
 
 
 def alignments(spark, sf):
     return table(spark, sf, "lineitem").select(
         F.col("l_suppkey").alias("ref"), (F.col("l_orderkey") * 3 + F.col("l_linenumber")).alias("pos"),
-        F.col("l_quantity").cast("bigint").alias("length"), F.round("l_extendedprice").cast("bigint").bitwiseAND(1279).alias("flag"))
+        F.col("l_quantity").cast("bigint").alias("length"), F.floor("l_extendedprice").bitwiseAND(1279).alias("flag"))
 
 
-EV = """ev AS (SELECT ref, at, sum(step) AS step FROM (SELECT ref, pos AS at, 1 AS step FROM aln
+EV = """ev AS (SELECT ref, ap, sum(step) AS step FROM (SELECT ref, pos AS ap, 1 AS step FROM aln
   UNION ALL SELECT ref, pos + length, -1 FROM aln) GROUP BY 1, 2),
-run AS (SELECT ref, at, sum(step) OVER (PARTITION BY ref ORDER BY at) AS depth, lead(at) OVER (PARTITION BY ref ORDER BY at) AS stop FROM ev)"""
+run AS (SELECT ref, ap, sum(step) OVER (PARTITION BY ref ORDER BY ap) AS depth, lead(ap) OVER (PARTITION BY ref ORDER BY ap) AS stop FROM ev)"""
 
 
 @query("z19_depth_runs", with_(ALN, EV, body="""
-SELECT ref, at AS start, stop, depth::BIGINT AS depth FROM run WHERE depth > 0"""))
+SELECT ref, ap AS start, stop, depth::BIGINT AS depth FROM run WHERE depth > 0"""))
 def z19(spark, sf):
     return R.depth(alignments(spark, sf))
 
@@ -297,7 +303,7 @@ def z19(spark, sf):
 @query("z19_coverage", with_(ALN, EV, body=f"""
 SELECT ref, bases, covered, {rnd('bases / covered')} AS mean_depth FROM
   (SELECT ref, sum(length)::BIGINT AS bases FROM aln GROUP BY 1) JOIN
-  (SELECT ref, sum(stop - at)::BIGINT AS covered FROM run WHERE depth > 0 GROUP BY 1) USING (ref)"""))
+  (SELECT ref, sum(stop - ap)::BIGINT AS covered FROM run WHERE depth > 0 GROUP BY 1) USING (ref)"""))
 def z19c(spark, sf):
     return rounded(R.coverage_table(alignments(spark, sf)), "mean_depth")
 
