@@ -10,6 +10,7 @@ from fenloom.plans import (  # noqa: F401  (importing fills the registry)
     expression,
     ordination,
     reads,
+    sources,
 )
 
 __all__ = ["QUERIES", "SQL"]
