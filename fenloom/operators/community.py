@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from fenloom.functions.scalar import RANKS, parse_lineage, strip_suffix
 from fenloom.functions.tails import normal_upper
+from fenloom.session import cut_lineage, spread
 
 
 @dataclass(frozen=True)
@@ -193,7 +194,9 @@ def bar_table(counts: DataFrame, taxonomy: DataFrame, samples: DataFrame, rank:
         .join(sizes, "group")
         .select("group", "feature_id", (F.col("_sum") / F.col("_n")).alias("abundance"))
     )
-    shares = top_n_other(collapse(means, taxonomy, rank, column="group"), n, column="group")
+    # groups x taxa at this rank: small next to the counts, and read three times below
+    by_taxon = cut_lineage(collapse(means, taxonomy, rank, column="group"))
+    shares = top_n_other(by_taxon, n, column="group")
     return shares.join(F.broadcast(stack_order(shares)), "feature_id")  # n + 1 rows
 
 
@@ -253,8 +256,8 @@ def rarefy(counts: DataFrame, depth: int, seed: int, chunk: int = 1000) -> DataF
     chunks = (
         whole.join(deep, "sample_id", "left_semi")
         .withColumn("_c", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("_n") - 1) / F.lit(chunk)))))
-        .repartition("sample_id", "feature_id", "_c")
     )
+    chunks = spread(chunks, "sample_id", "feature_id", "_c")
     first = F.col("_c") * chunk + 1
     each = chunks.select(
         "sample_id", "feature_id",
@@ -276,8 +279,6 @@ def tip_closure(edges: DataFrame) -> DataFrame:
     ``edges`` has (node, parent, branch_length); the root's parent is NULL.  Each round
     doubles the ancestor steps known, so depth 50 takes six rounds.
     """
-    from fenloom.session import cut_lineage
-
     nodes = edges.select("node", "parent", "branch_length")
     parents = nodes.filter(F.col("parent").isNotNull()).select(F.col("parent").alias("node")).distinct()
     tips = nodes.join(parents, "node", "left_anti").select(F.col("node").alias("tip"))

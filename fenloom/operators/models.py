@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from fenloom.functions.scalar import hash32
 from fenloom.functions.tails import f_pvalue
 from fenloom.operators.permutation import EPS, MAX_CELLS, _design
+from fenloom.session import spread
 
 
 def fit_factor(df: DataFrame, y: str, factor: str, ref, family: str = "gaussian") -> DataFrame:
@@ -209,7 +210,8 @@ def bootstrap_weight(seed: int, draw, row_id) -> Column:
 
 
 def _drawn(df: DataFrame, row_id: str, n_draws: int, seed: int) -> DataFrame:
-    return df.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(n_draws)))).withColumn(
+    # every row is expanded n_draws times: spread the narrow rows first
+    return spread(df, row_id).withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(n_draws)))).withColumn(
         "_w", bootstrap_weight(seed, F.col("draw"), F.col(row_id)))
 
 
@@ -303,7 +305,7 @@ def pp_check(df: DataFrame, y: str, factor: str, row_id: str, n_draws: int, seed
     unit = lambda tag: (hash32(F.lit(f"{seed}{tag}"), F.col("draw"), F.col(row_id)) + F.lit(0.5)) / F.lit(4294967296.0)  # noqa: E731,E501
     noise = F.sqrt(-2 * F.log(unit("u"))) * F.cos(F.lit(2 * math.pi) * unit("v"))
     rep = (
-        rows.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(n_draws)))).join(means, ["draw", "level"])
+        spread(rows, row_id).withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(n_draws)))).join(means, ["draw", "level"])
         .select("draw", (F.col("mean") + sigma * noise).alias("_y"))
     )
     both = rows.select(F.lit(0).alias("draw"), "_y").unionByName(rep)

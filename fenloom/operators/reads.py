@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import IntegerType
 
-from fenloom.functions.scalar import kmers, quality_scores
+from fenloom.functions.scalar import kmers
 from fenloom.operators.ordering import next_value, running_total
 from fenloom.operators.summary import frequency
 from fenloom.operators.tidy import keep_max
-from fenloom.session import cut_lineage
+from fenloom.session import cut_lineage, spread
 
 PIECE = 10_000  # characters of a contig piece
 WORD_PIECE = 500  # characters whose k-mers are listed as one array
@@ -36,19 +36,35 @@ def demux_summary(reads: DataFrame) -> DataFrame:
     return frequency(reads, "sample_id")
 
 
+def _score_counts(by: str):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for name, quals in pdf.groupby(by, sort=False, dropna=False)["qual"]:
+                texts = [q.encode("latin-1") for q in quals if q]
+                if not texts:
+                    continue
+                sizes = np.array([len(t) for t in texts])
+                score = np.frombuffer(b"".join(texts), dtype=np.uint8).astype(np.int64) - 33
+                pos = np.arange(len(score)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                cell, n = np.unique(pos * 256 + score + 33, return_counts=True)
+                yield pd.DataFrame({by: name, "pos": cell // 256 + 1, "score": cell % 256 - 33, "n": n})
+
+    return run
+
+
 def quality_profile(reads: DataFrame, by: str = "file") -> DataFrame:
     """Mean and quartiles of quality at each position.
 
-    Scores take few values, so (file, position, score) counts are combined before the
-    shuffle and the quartiles are taken over those.
+    Scores take few values, so each batch of reads is turned into (file, position, score)
+    counts where it lies, and only those are shuffled.
     """
-    cells = reads.select(by, F.posexplode(quality_scores("qual")).alias("pos", "score")).groupBy(by, "pos", "score").agg(
-        F.count(F.lit(1)).alias("n"))
+    t = reads.schema[by].dataType.simpleString()
+    part = reads.select(by, "qual").mapInPandas(_score_counts(by), f"{by} {t}, pos int, score int, n bigint")
+    cells = part.groupBy(by, "pos", "score").agg(F.sum("n").alias("n"))
     q = F.percentile("score", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.col("n"))
     return cells.groupBy(by, "pos").agg(
         F.sum("n").alias("n"), (F.sum(F.col("score") * F.col("n")) / F.sum("n")).alias("mean"), q.alias("q")
-    ).select(by, (F.col("pos") + 1).alias("pos"), "n", "mean", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"),
-             F.col("q")[2].alias("q3"))
+    ).select(by, "pos", "n", "mean", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
 
 
 def quality_cut(profile: DataFrame, by: str = "file", threshold: float = 20) -> DataFrame:
@@ -123,8 +139,7 @@ def kmer_rows(df: DataFrame, text: str, k: int, out: str = "kmer") -> DataFrame:
         return rows.filter(n >= k).select(*keep, text, at).select(
             *keep, F.substring(F.col(text), F.col("_p") * size + 1, F.lit(size + k - 1)).alias(text))
 
-    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    pieces = cut(cut(df, PIECE * 10), WORD_PIECE).repartition(tasks, F.xxhash64(text))
+    pieces = spread(cut(cut(df, PIECE * 10), WORD_PIECE), F.xxhash64(text))
     return pieces.select(*keep, F.explode(kmers(text, k)).alias(out))
 
 

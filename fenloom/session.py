@@ -48,6 +48,16 @@ def cut_lineage(df: DataFrame, name: str = "cut") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, *keys, at_least: int = 0) -> DataFrame:
+    """Shuffle narrow rows evenly before a step that multiplies the work per row.
+
+    The number of partitions is given, so that run-time coalescing, which only sees how
+    small the rows are now, does not put the step into a few tasks.
+    """
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), at_least)
+    return df.repartition(parts, *keys)
+
+
 def broadcast_if_small(df: DataFrame, rows: int | None = None) -> DataFrame:
     """Broadcast hint when the row count is known or measured to be small.
 
