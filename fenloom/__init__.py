@@ -1 +1,8 @@
 """fenloom: community-ecology and expression tables as Spark DataFrames."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Task functions travel by value, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -18,3 +18,18 @@ def test_entry_runs(spark):
     out = e.entry(spark)
     assert out.columns == ["group", "feature_id", "abundance", "position"]
     assert out.count() > 0
+
+
+def test_task_functions_reach_workers_from_any_folder(tmp_path):
+    code = (
+        f"import sys; sys.path.insert(0, {str(REPO)!r})\n"
+        "from tests.compare import make_session\n"
+        "import __spark_entry__ as e\n"
+        "spark = make_session(2)\n"
+        "q = e.queries()\n"
+        "sf = '/root/testdata/sf0.001'\n"
+        "print(len(q['e7_euclidean'](spark, sf).collect()), len(q['e12_convex_hull'](spark, sf).collect()))\n"
+    )
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=300)
+    assert out.returncode == 0, out.stderr[-2000:]
+    assert out.stdout.split()[0] == "45"
