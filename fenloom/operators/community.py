@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass, replace
 
@@ -246,27 +247,47 @@ def with_diversity(samples: DataFrame, counts: DataFrame) -> DataFrame:
 def rarefy(counts: DataFrame, depth: int, seed: int, chunk: int = 1000) -> DataFrame:
     """Draw ``depth`` individuals per sample without replacement.
 
-    Individuals are ordered by md5(seed|sample|feature|i), so the draw does not depend
-    on partitioning.  Counts are expanded in two steps: chunks are spread over the
-    cluster first, so that one huge count is neither one array nor one task, and
-    each task keeps only its first ``depth`` individuals of a sample before the shuffle.
+    The draw is the first ``depth`` individuals in order of md5(seed|sample|feature|i), so it
+    does not depend on partitioning.  It is found without sorting a sample: individuals are
+    counted by their first hash digits, which names the digit range the last drawn one falls
+    in; ranges before it are taken whole and only that one is sorted.  The number of digits
+    follows the deepest sample, so that one range holds some 100,000 individuals at most.  Counts are expanded in chunks spread over the cluster, so one huge count is
+    neither one array nor one task.
     """
     whole = counts.filter(F.col("abundance") > 0).withColumn("_n", F.col("abundance").cast("bigint"))
-    deep = library_size(whole).filter(F.col("total") >= depth).select("sample_id")
+    size = cut_lineage(library_size(whole).filter(F.col("total") >= depth))  # a row per sample
+    deepest = size.agg(F.max("total")).first()[0] or 1
+    n_digits = max(2, math.ceil(math.log(deepest / 1e5, 16))) if deepest > 1e5 else 1
+    deep = size.select("sample_id")
     chunks = (
         whole.join(deep, "sample_id", "left_semi")
-        .withColumn("_c", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("_n") - 1) / F.lit(chunk)))))
+        .select("sample_id", "feature_id", "_n", F.explode(
+            F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("_n") - 1) / F.lit(chunk)))).alias("_c"))
     )
-    chunks = spread(chunks, "sample_id", "feature_id", "_c")
+    chunks = cut_lineage(spread(chunks, "sample_id", "feature_id", "_c"))
     first = F.col("_c") * chunk + 1
     each = chunks.select(
         "sample_id", "feature_id",
         F.explode(F.sequence(first, F.least(first + (chunk - 1), F.col("_n")))).alias("_i"),
-    ).withColumn("_h", F.md5(F.concat_ws("|", F.lit(str(seed)), "sample_id", "feature_id", "_i")))
-    w = Window.partitionBy("sample_id").orderBy("_h")
+    ).select("sample_id", "feature_id",
+             F.md5(F.concat_ws("|", F.lit(str(seed)), "sample_id", "feature_id", "_i")).alias("_h"))
+    digits = F.substring("_h", 1, n_digits)
+    w = Window.partitionBy("sample_id").orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
+    ranges = each.groupBy("sample_id", digits.alias("_b")).agg(F.count(F.lit(1)).alias("_k")).withColumn(
+        "_cum", F.sum("_k").over(w))
+    edge = ranges.filter((F.col("_cum") >= depth) & (F.col("_cum") - F.col("_k") < depth)).select(
+        "sample_id", F.col("_b").alias("_edge"), (F.lit(depth) - F.col("_cum") + F.col("_k")).alias("_need"))
+    edge = cut_lineage(edge)  # a row per sample
+    drawn = cut_lineage(
+        each.join(edge, "sample_id").filter(digits <= F.col("_edge"))
+        .groupBy("sample_id", "feature_id", "_need", F.when(digits == F.col("_edge"), F.col("_h")).alias("_at"))
+        .agg(F.count(F.lit(1)).alias("abundance")))
+    rank = F.row_number().over(Window.partitionBy("sample_id").orderBy("_at"))
+    last = drawn.filter(F.col("_at").isNotNull()).withColumn("_r", rank).filter(F.col("_r") <= F.col("_need"))
     return (
-        each.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= depth)
-        .groupBy("sample_id", "feature_id").agg(F.count(F.lit(1)).alias("abundance"))
+        drawn.filter(F.col("_at").isNull()).select("sample_id", "feature_id", "abundance")
+        .unionByName(last.select("sample_id", "feature_id", "abundance"))
+        .groupBy("sample_id", "feature_id").agg(F.sum("abundance").alias("abundance"))
     )
 
 
