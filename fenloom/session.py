@@ -1,4 +1,4 @@
-"""Session helpers: the shared folder, lineage cuts and size-checked broadcasts."""
+"""Session helpers: the shared folder, lineage cuts and spreading of rows."""
 
 from __future__ import annotations
 
@@ -6,11 +6,7 @@ import math
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
-
-#: a side is broadcast on purpose only below this many rows
-BROADCAST_ROWS = 200_000
-
+from pyspark.sql import DataFrame, SparkSession
 
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, as named by ``spark.checkpoint.dir``.
@@ -58,15 +54,5 @@ def spread(df: DataFrame, *keys, at_least: int = 0) -> DataFrame:
     return df.repartition(parts, *keys)
 
 
-def broadcast_if_small(df: DataFrame, rows: int | None = None) -> DataFrame:
-    """Broadcast hint when the row count is known or measured to be small.
-
-    Without the hint the join stays a shuffle join, which AQE may still turn into
-    a broadcast from run-time sizes, or split where a key is skewed.
-    """
-    n = df.count() if rows is None else rows
-    return F.broadcast(df) if n <= BROADCAST_ROWS else df
-
-
 def pieces(rows: int, per_piece: int) -> int:
     return max(1, math.ceil(rows / per_piece))
