@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fenloom.llm import exact
+from fenloom.llm import exact, mixing
+from fenloom.session import cut_lineage
 
 QUERIES, SQL = {}, {}
 
@@ -31,3 +32,10 @@ FROM t WINDOW w AS (PARTITION BY norm)""")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return exact.ExactDedup(docs).report().withColumnRenamed("id", "doc_id")
+
+
+@query("op2_mixing")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    sizes = cut_lineage(mixing.sized(docs, "doc_id", "source", "text").drop("row"), "sizes")
+    return mixing.mix(sizes).select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", "source")
