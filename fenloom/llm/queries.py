@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fenloom.llm import exact, mixing
+from fenloom.llm import exact, langid, mixing
+from fenloom.llm.common import held_out
 from fenloom.session import cut_lineage
 
 QUERIES, SQL = {}, {}
@@ -39,3 +40,11 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     sizes = cut_lineage(mixing.sized(docs, "doc_id", "source", "text").drop("row"), "sizes")
     return mixing.mix(sizes).select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", "source")
+
+
+@query("op1_language_id")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = langid.fit(docs)
+    found = langid.predict(docs.select("doc_id", "text"), model)
+    return found.select("row.doc_id", held_out(F.col("row.doc_id"), 5, 0).alias("held_out"), "lang_pred", "score", "accepted")
