@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from fenloom.session import cut_lineage
 
@@ -70,3 +70,10 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
         state = now
     ids = e.select(F.col("u").alias("id"), F.col("v").alias("component"))
     return ids.unionByName(e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
+
+
+def small_batches(spark: SparkSession, rows: int = 500) -> None:
+    """Fewer rows at once to Python workers: a thousand long texts must fit one batch."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, "10000")) <= rows:
+        spark.conf.set(key, str(rows))

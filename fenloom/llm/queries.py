@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fenloom.llm import exact, langid, mixing
+from fenloom.llm import exact, langid, mixing, near
 from fenloom.llm.common import held_out
 from fenloom.session import cut_lineage
 
@@ -48,3 +48,9 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = langid.fit(docs)
     found = langid.predict(docs.select("doc_id", "text"), model)
     return found.select("row.doc_id", held_out(F.col("row.doc_id"), 5, 0).alias("held_out"), "lang_pred", "score", "accepted")
+
+
+@query("op6_near_duplicates")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return near.NearDuplicates(docs).report().withColumnRenamed("id", "doc_id")
