@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fenloom.llm import exact, langid, mixing, near
+from fenloom.llm import exact, langid, mixing, near, pieces
 from fenloom.llm.common import held_out
 from fenloom.session import cut_lineage
 
@@ -54,3 +55,15 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return near.NearDuplicates(docs).report().withColumnRenamed("id", "doc_id")
+
+
+@query("op7_pieces")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids under dropout, and whether decoding them gives the text back."""
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    coded = pieces.encode_documents(docs, path)
+    text = F.coalesce("row.text", F.lit(""))
+    return coded.select(
+        "row.doc_id", F.size("ids").cast("long").alias("n_tokens"), F.xxhash64("ids").alias("ids_hash"),
+        F.length(text).cast("long").alias("n_chars"), (pieces.text_from(F.col("ids"), path) == text).alias("lossless"))
