@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fenloom.llm import exact
-from fenloom.session import scratch_path
+from fenloom.llm import exact, langid, mixing, near, pieces
+from fenloom.session import cut_lineage, scratch_path
+
+
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is recognised; the classifier learns from rows that are not held out."""
+    model = langid.fit(docs)
+    found = langid.predict(docs, model).filter("accepted")
+    return found.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -13,17 +21,42 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return exact.ExactDedup(docs).kept()
 
 
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates one stays."""
+    return near.NearDuplicates(docs).kept()
+
+
+def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as the mix takes them: repeated, left out, or cut at the edges of blocks."""
+    spool = cut_lineage(mixing.sized(docs, "doc_id", "source", "text"), "sizes")
+    taken = mixing.Mix(spool.drop("row")).take(spool, "text", docs.columns)
+    return taken.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else taken
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The ids of each document under merge-dropout, and whether they decode to its text."""
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    rows = pieces.encode_documents(docs, path)
+    text = F.coalesce("row.text", F.lit(""))
+    return rows.select("row.doc_id", "row.lang", "row.source", F.size("ids").cast("long").alias("n_tokens"), "ids",
+                       (pieces.text_from(F.col("ids"), path) == text).alias("lossless"))
+
+
 STAGES = [
+    ("language", known_language),
     ("exact dedup", exact_copies),
+    ("near dedup", near_copies),
+    ("mixing", mixed_sources),
+    ("pieces", encoded),
 ]
 
-#: The stages train models, hash and draw by seeded hashes; SQL cannot state them.
+#: The stages train a model and hash, which SQL cannot state; tests/llm holds them against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (name, stage) in enumerate(STAGES):
+    for k, (_, stage) in enumerate(STAGES):
         path = scratch_path(spark, f"stage-{k}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)

@@ -16,7 +16,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from fenloom.llm.common import packed, text_of
+from fenloom.llm.common import GAP, packed, text_of, unpacked
 from fenloom.session import cut_lineage
 
 WORDS = r"[^\x20\x09-\x0D]+"
@@ -80,71 +80,105 @@ def highest_quotients(parties: DataFrame, group: list[str], key: list[str], vote
         "_seats", "_total", "_k", "_most", "_low", "_high", "_left")
 
 
-def mix(docs: DataFrame, weights=(5.0, 2.0, 1.0), share: float = 1.5, most: int = 2, seed: int = 7,
-        block_words: int = 64, shard_words: int = 1_000_000, shard_rows: int = 20_000) -> DataFrame:
-    """Rows of :func:`sized` with ``source_size, target, taken, start, shard, n_blocks, shard_size, passes``.
+class Mix:
+    """The mix of rows of :func:`sized` (without their ``row``).
 
-    ``block_words`` is the size of a block; sources whose target is below 64 blocks are cut into
-    single words instead, so that their totals are met as closely.
+    ``rows`` adds ``source_size, target, taken, start, sk, shard, shard_size, n_blocks, passes``;
+    ``blocks`` has the blocks taken once more than their shard's passes. ``block_words`` is the
+    size of a block; sources whose target is below 64 blocks are cut into single words instead,
+    so that their totals are met as closely.
     """
-    sources = cut_lineage(targets(docs, list(weights), share, most).withColumn(
-        "unit", F.when(F.col("target") >= 64 * block_words, block_words).otherwise(1)), "sources")
-    unit = Window.partitionBy("unit")
-    sources = highest_quotients(
-        sources, ["unit"], ["source"], "target", F.round(F.sum("target").over(unit) / F.col("unit")).cast("long"),
-        F.lit(1 << 60)).withColumnRenamed("quota", "source_quota").unionByName(
-        sources.filter("target <= 0").withColumn("source_quota", F.lit(0).cast("long")))
-    sources = cut_lineage(sources.withColumn("n_shards", F.greatest(
-        F.lit(1), F.ceil(F.col("source_size") / shard_words), F.ceil(F.col("n_rows") / shard_rows))), "sources")
-
-    def seeded(what: str, key: Column) -> Column:
-        return F.md5(F.concat(F.lit(f"{seed}|{what}|"), key))
-
-    name = F.coalesce(F.col("id").cast("string"), F.lit("null"))
-    s = sources.withColumnRenamed("source", "_source")
-    docs = docs.join(s, docs["source"].eqNullSafe(s["_source"])).drop("_source")
-    docs = docs.withColumn("shard", F.conv(F.substring(seeded("shard", name), 1, 8), 16, 10).cast("long") % F.col("n_shards"))
-    # null sources need a key that equals itself in joins and windows
-    docs = docs.withColumn("sk", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")))
-    shards = docs.groupBy("sk", "unit", "source_quota", "shard").agg(F.sum("size").alias("shard_size")).filter("shard_size > 0")
-    shards = shards.withColumn("n_blocks", F.greatest(F.lit(1), F.round(F.col("shard_size") / F.col("unit"))).cast("long"))
-    shards = cut_lineage(highest_quotients(
-        shards, ["sk"], ["sk", "shard"], "shard_size", F.col("source_quota"), most * F.col("n_blocks")).select(
-        "sk", "shard", "shard_size", "n_blocks", F.floor(F.col("quota") / F.col("n_blocks")).alias("passes"),
-        (F.col("quota") % F.col("n_blocks")).alias("extra")), "shards")
-    return _taken(docs, shards, seeded)
-
-
-def _taken(docs: DataFrame, shards: DataFrame, seeded) -> DataFrame:
-    """Places documents in the streams of their shards and counts the words the blocks take."""
-    edge = F.floor(F.col("block") * F.col("shard_size") / F.col("n_blocks"))
-    by_draw = Window.partitionBy("sk", "shard").orderBy("draw", "block")
-    blocks = shards.repartition("sk", "shard").select(
-        "*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1)).alias("block"))
-    blocks = blocks.withColumn("draw", seeded("block", F.concat_ws("|", "sk", "shard", "block"))).withColumn(
-        "chosen", (F.row_number().over(by_draw) <= F.col("extra")).cast("long")).withColumn("block_start", edge.cast("long"))
-    along = Window.partitionBy("sk", "shard").orderBy("block")
-    length = F.lead("block_start", 1).over(along)
-    blocks = blocks.withColumn("length", F.coalesce(length, F.col("shard_size")) - F.col("block_start")).withColumn(
-        "before", F.sum(F.col("chosen") * F.col("length")).over(along) - F.col("chosen") * F.col("length"))
-    blocks = cut_lineage(blocks.select("sk", "shard", "block", "block_start", "chosen", "before"), "blocks")
-
-    order = Window.partitionBy("sk", "shard").orderBy("place", "id", "rid")
-    placed = docs.withColumn("place", seeded("order", F.coalesce(F.col("id").cast("string"), F.lit("null")))).withColumn(
-        "start", F.sum("size").over(order) - F.col("size")).drop("place")
-    placed = placed.join(shards, ["sk", "shard"], "left")
-
-    def block_of(place: Column) -> Column:
-        return F.floor(((place + 1) * F.col("n_blocks") - 1) / F.col("shard_size")).cast("long")
-
-    def chosen_before(rows: DataFrame, place: Column, out: str) -> DataFrame:
-        b = blocks.select("sk", "shard", *[F.col(c).alias(f"_{c}") for c in ("block", "block_start", "chosen", "before")])
-        rows = rows.withColumn("_block", F.least(block_of(place), F.col("n_blocks") - 1))
-        return rows.join(b, ["sk", "shard", "_block"], "left").withColumn(
-            out, F.col("_before") + F.col("_chosen") * (place - F.col("_block_start"))).drop(
-            "_block", "_block_start", "_chosen", "_before")
-
-    placed = chosen_before(placed, F.col("start"), "a")
-    placed = chosen_before(placed, F.col("start") + F.col("size"), "b")
-    taken = F.col("passes") * F.col("size") + F.col("b") - F.col("a")
-    return placed.withColumn("taken", F.when(F.col("size") > 0, taken).otherwise(0).cast("long")).drop("a", "b")
+
+    def __init__(self, docs: DataFrame, weights=(5.0, 2.0, 1.0), share: float = 1.5, most: int = 2, seed: int = 7,
+                 block_words: int = 64, shard_words: int = 1_000_000, shard_rows: int = 20_000):
+        self.seed = seed
+        sources = cut_lineage(targets(docs, list(weights), share, most).withColumn(
+            "unit", F.when(F.col("target") >= 64 * block_words, block_words).otherwise(1)), "sources")
+        unit = Window.partitionBy("unit")
+        sources = highest_quotients(
+            sources, ["unit"], ["source"], "target", F.round(F.sum("target").over(unit) / F.col("unit")).cast("long"),
+            F.lit(1 << 60)).withColumnRenamed("quota", "source_quota").unionByName(
+            sources.filter("target <= 0").withColumn("source_quota", F.lit(0).cast("long")))
+        sources = cut_lineage(sources.withColumn("n_shards", F.greatest(
+            F.lit(1), F.ceil(F.col("source_size") / shard_words), F.ceil(F.col("n_rows") / shard_rows))), "sources")
+        s = sources.withColumnRenamed("source", "_source")
+        docs = docs.join(s, docs["source"].eqNullSafe(s["_source"])).drop("_source")
+        docs = docs.withColumn("shard", F.conv(F.substring(self._seeded("shard", _name()), 1, 8), 16, 10).cast("long") % F.col("n_shards"))
+        # null sources need a key that equals itself in joins and windows
+        docs = docs.withColumn("sk", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")))
+        shards = docs.groupBy("sk", "unit", "source_quota", "shard").agg(F.sum("size").alias("shard_size")).filter("shard_size > 0")
+        shards = shards.withColumn("n_blocks", F.greatest(F.lit(1), F.round(F.col("shard_size") / F.col("unit"))).cast("long"))
+        shards = cut_lineage(highest_quotients(
+            shards, ["sk"], ["sk", "shard"], "shard_size", F.col("source_quota"), most * F.col("n_blocks")).select(
+            "sk", "shard", "shard_size", "n_blocks", F.floor(F.col("quota") / F.col("n_blocks")).alias("passes"),
+            (F.col("quota") % F.col("n_blocks")).alias("extra")), "shards")
+        self.blocks = self._blocks(shards)
+        self.rows = self._taken(docs, shards.drop("extra"))
+
+    def _seeded(self, what: str, key: Column) -> Column:
+        return F.md5(F.concat(F.lit(f"{self.seed}|{what}|"), key))
+
+    def _blocks(self, shards: DataFrame) -> DataFrame:
+        """All blocks: where each starts, whether it is chosen, and the chosen words before it in its shard."""
+        edge = F.floor(F.col("block") * F.col("shard_size") / F.col("n_blocks"))
+        by_draw = Window.partitionBy("sk", "shard").orderBy("draw", "block")
+        blocks = shards.repartition("sk", "shard").select(
+            "*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1)).alias("block"))
+        blocks = blocks.withColumn("draw", self._seeded("block", F.concat_ws("|", "sk", "shard", "block"))).withColumn(
+            "chosen", (F.row_number().over(by_draw) <= F.col("extra")).cast("long")).withColumn("block_start", edge.cast("long"))
+        along = Window.partitionBy("sk", "shard").orderBy("block")
+        blocks = blocks.withColumn("block_end", F.coalesce(F.lead("block_start", 1).over(along), F.col("shard_size")))
+        chosen = F.col("chosen") * (F.col("block_end") - F.col("block_start"))
+        blocks = blocks.withColumn("before", F.sum(chosen).over(along) - chosen)
+        return cut_lineage(blocks.select("sk", "shard", "block", "block_start", "block_end", "chosen", "before"), "blocks")
+
+    def _taken(self, docs: DataFrame, shards: DataFrame) -> DataFrame:
+        """Places documents in the streams of their shards and counts the words the blocks take."""
+        order = Window.partitionBy("sk", "shard").orderBy("place", "id", "rid")
+        placed = docs.withColumn("place", self._seeded("order", _name())).withColumn(
+            "start", F.sum("size").over(order) - F.col("size")).drop("place")
+        placed = placed.join(shards, ["sk", "shard"], "left")
+
+        def chosen_before(rows: DataFrame, place: Column, out: str) -> DataFrame:
+            b = self.blocks.select("sk", "shard", *[F.col(c).alias(f"_{c}") for c in ("block", "block_start", "chosen", "before")])
+            rows = rows.withColumn("_block", F.least(_block_of(place), F.col("n_blocks") - 1))
+            return rows.join(b, ["sk", "shard", "_block"], "left").withColumn(
+                out, F.col("_before") + F.col("_chosen") * (place - F.col("_block_start"))).drop(
+                "_block", "_block_start", "_chosen", "_before")
+
+        placed = chosen_before(placed, F.col("start"), "a")
+        placed = chosen_before(placed, F.col("start") + F.col("size"), "b")
+        taken = F.col("passes") * F.col("size") + F.col("b") - F.col("a")
+        return placed.withColumn("taken", F.when(F.col("size") > 0, taken).otherwise(0).cast("long")).drop("a", "b")
+
+    def take(self, spool: DataFrame, text_col: str, names: list[str]) -> DataFrame:
+        """The mixed documents themselves: as many whole copies as taken, and for a document cut
+        by a block's edge one more row with the words inside the chosen blocks, spacing kept.
+
+        ``spool`` is :func:`sized` as written; columns of the documents are ``names``.
+        """
+        got = cut_lineage(self.rows.filter("taken > 0").select("rid", "sk", "shard", "start", "size", "taken", "n_blocks", "shard_size"), "taken")
+        part = F.col("taken") % F.col("size")
+        last = _block_of(F.col("start") + F.col("size") - 1)
+        cut = got.filter(part > 0).select("*", F.explode(F.sequence(_block_of(F.col("start")), last)).alias("block"))
+        cut = cut.join(self.blocks.filter("chosen = 1").select("sk", "shard", "block", "block_start", "block_end"), ["sk", "shard", "block"])
+        cut = cut.select("rid", F.greatest(F.col("block_start") - F.col("start"), F.lit(0)).alias("a"),
+                         F.least(F.col("block_end") - F.col("start"), F.col("size")).alias("b"))
+        cut = cut.groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("spans"))
+        rows = spool.select("rid", "row").join(
+            got.select("rid", F.floor(F.col("taken") / F.col("size")).cast("int").alias("copies")), "rid").join(cut, "rid", "left")
+        text = F.col("row").getField(text_col)
+        words = F.regexp_extract_all(text, F.lit(f"({WORDS}{GAP[:-1]}*)"), F.lit(1))
+        inside = F.flatten(F.transform("spans", lambda s: F.slice("words", (s["a"] + 1).cast("int"), (s["b"] - s["a"]).cast("int"))))
+        whole = rows.filter("copies > 0").select(F.explode(F.array_repeat("row", F.col("copies"))).alias("row"))
+        some = rows.filter("spans IS NOT NULL").withColumn("words", words).select(
+            F.col("row").withField(f"`{text_col}`", F.rtrim(F.array_join(inside, ""))).alias("row"))
+        return unpacked(whole.unionByName(some), names)
+
+
+def _name() -> Column:
+    return F.coalesce(F.col("id").cast("string"), F.lit("null"))
+
+
+def _block_of(place: Column) -> Column:
+    return F.floor(((place + 1) * F.col("n_blocks") - 1) / F.col("shard_size")).cast("long")

@@ -40,7 +40,7 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     sizes = cut_lineage(mixing.sized(docs, "doc_id", "source", "text").drop("row"), "sizes")
-    return mixing.mix(sizes).select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", "source")
+    return mixing.Mix(sizes).rows.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", "source")
 
 
 @query("op1_language_id")
