@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fenloom.llm import exact, langid, mixing, near, pieces
+from fenloom.llm import exact, langid, licenses, mixing, near, pieces
 from fenloom.llm.common import held_out
 from fenloom.session import cut_lineage
 
@@ -67,3 +67,9 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select(
         "row.doc_id", F.size("ids").cast("long").alias("n_tokens"), F.xxhash64("ids").alias("ids_hash"),
         F.length(text).cast("long").alias("n_chars"), (pieces.text_from(F.col("ids"), path) == text).alias("lossless"))
+
+
+@query("op5_license_scan", licenses.oracle())
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return licenses.scan(docs).drop("spans").withColumnRenamed("id", "doc_id")
