@@ -5,9 +5,9 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fenloom.llm import exact, langid, licenses, mixing, near, pieces
+from fenloom.llm import exact, langid, licenses, mixing, near, pieces, tokenfiles
 from fenloom.llm.common import held_out
-from fenloom.session import cut_lineage
+from fenloom.session import cut_lineage, scratch_path
 
 QUERIES, SQL = {}, {}
 
@@ -73,3 +73,11 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return licenses.scan(docs).drop("spans").withColumnRenamed("id", "doc_id")
+
+
+@query("op9_token_files")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = scratch_path(spark, "tokens")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    tokenfiles.write(docs, folder, public_tokenizers.path("word_bpe_49k.json"), end=2)
+    return tokenfiles.read(spark, folder)
