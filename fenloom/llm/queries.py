@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fenloom.llm import exact, langid, licenses, mixing, near, pieces, tokenfiles
+from fenloom.llm import exact, langid, licenses, mixing, near, pieces, tokenfiles, vectors
 from fenloom.llm.common import held_out
 from fenloom.session import cut_lineage, scratch_path
 
@@ -81,3 +81,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     tokenfiles.write(docs, folder, public_tokenizers.path("word_bpe_49k.json"), end=2)
     return tokenfiles.read(spark, folder)
+
+
+@query("op10_near_vectors")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_vectors(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
