@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fenloom.llm import exact, langid, licenses, mixing, near, pieces, tokenfiles, vectors
+from fenloom.llm import exact, langid, licenses, mixing, near, pieces, quality, tokenfiles, vectors
 from fenloom.llm.common import held_out
 from fenloom.session import cut_lineage, scratch_path
 
@@ -86,3 +86,11 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_near_vectors")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_vectors(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
+@query("op4_quality")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    return quality.score(docs, model).select(
+        "row.doc_id", held_out(F.col("row.doc_id"), 4, 2).alias("held_out"), "score", "predicted")
