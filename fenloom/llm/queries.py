@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fenloom.llm import exact, langid, licenses, mixing, near, pieces, quality, tokenfiles, vectors
+from fenloom.llm import exact, html, langid, licenses, mixing, near, pieces, quality, tokenfiles, vectors
 from fenloom.llm.common import held_out
 from fenloom.session import cut_lineage, scratch_path
 
@@ -94,3 +94,9 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
     return quality.score(docs, model).select(
         "row.doc_id", held_out(F.col("row.doc_id"), 4, 2).alias("held_out"), "score", "predicted")
+
+
+@query("op3_html_text")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return found.select("row.page_id", "row.url", "text", F.length("text").cast("long").alias("n_chars"))
