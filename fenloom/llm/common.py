@@ -2,6 +2,13 @@
 
 from __future__ import annotations
 
+import sys
+import types
+from collections.abc import Callable, Iterator, Sequence
+from typing import Any
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from fenloom.session import cut_lineage
@@ -77,3 +84,73 @@ def small_batches(spark: SparkSession, rows: int = 500) -> None:
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key, "10000")) <= rows:
         spark.conf.set(key, str(rows))
+
+
+def once(key: tuple, make: Callable[[], Any]) -> Any:
+    """What ``make`` returns, made once in each Python process.
+
+    Task functions are shipped by value, so a module's own variables start anew with every task;
+    this store lives as long as the worker.
+    """
+    store = sys.modules.setdefault("_fenloom_once", types.ModuleType("_fenloom_once")).__dict__
+    if key not in store:
+        store[key] = make()
+    return store[key]
+
+
+def in_blocks(rows: DataFrame, place: Sequence[str], member: str, block: int) -> DataFrame:
+    """Rows of places with more than one member, with ``block, bi, bj``: the tiles a row is needed in.
+
+    A place is cut into blocks of about ``block`` members, and each pair of blocks is a tile, so
+    that every two members of a place meet in one tile and no tile grows with its place.
+    """
+    place = list(place)
+    sizes = rows.groupBy(place).agg(F.count("*").alias("_n")).filter("_n > 1")
+    rows = rows.join(sizes, place).withColumn("_nb", F.ceil(F.col("_n") / block).cast("int"))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64(F.lit("block"), member), "_nb").cast("int"))
+    tiles = F.transform(F.sequence(F.lit(0), F.col("_nb") - 1), lambda k: F.struct(
+        F.least("block", k).alias("bi"), F.greatest("block", k).alias("bj")))
+    return rows.select("*", F.inline(tiles)).drop("_n", "_nb")
+
+
+def by_tile(rows: DataFrame, tile: Sequence[str], work: Callable[[tuple, pa.Table], pa.RecordBatch | None], schema: str) -> DataFrame:
+    """``work`` on the rows of each tile; only one tile at a time is held."""
+    tile = list(tile)
+    width = len(tile)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        last = None
+
+        def done():
+            return work(last, pa.Table.from_batches(held)) if sum(h.num_rows for h in held) > 1 else None
+
+        for b in batches:
+            keys = list(zip(*[b.column(i).to_pylist() for i in range(width)]))
+            cuts = [0, *[i for i in range(1, len(keys)) if keys[i] != keys[i - 1]], len(keys)] if keys else [0]
+            for lo, hi in zip(cuts[:-1], cuts[1:]):
+                if keys[lo] != last:
+                    if (out := done()) is not None:
+                        yield out
+                    held.clear()
+                last = keys[lo]
+                held.append(b.slice(lo, hi - lo))
+        if (out := done()) is not None:
+            yield out
+
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rest = [c for c in rows.columns if c not in tile]
+    return rows.select(*tile, *rest).repartition(parts, *tile).sortWithinPartitions(*tile).mapInArrow(run, schema)
+
+
+def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest number in each component of links between numbers below ``n``."""
+    label = np.arange(n)
+    while True:
+        new = label.copy()
+        np.minimum.at(new, a, label[b])
+        np.minimum.at(new, b, label[a])
+        new = np.minimum(new, new[new])
+        if (new == label).all():
+            return label
+        label = new

@@ -7,8 +7,10 @@ hash of the id); Spark sends it the sample's sparse bucket counts, at most ``buc
 As the model is linear in the mean, embeddings and output weights are multiplied into one table
 of ``buckets x labels`` before it is sent to the executors.
 
-A quarter of the sample is kept from training to fit a temperature, and the rejection threshold
-is then the largest calibrated score that still keeps ``keep`` of those rows (0.5 at most).
+A quarter of the sample is kept from training to calibrate: it gives the temperature (1 or more),
+and a text is rejected when its calibrated score is below what ``keep`` of those rows reach (0.5
+at most). A text of subwords that training did not meet has a mean near zero, so its score is
+near the labels' shares.
 
 Null text and text without a letter is ``und`` with score 0 and rejected; where no label can be
 learned every text is. Rows with a null label or id are scored but not learned from.
@@ -24,23 +26,16 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from fenloom.llm.common import bounded_sample, held_out, packed
+from fenloom.llm.common import bounded_sample, held_out, once, packed, small_batches
 
 ORDERS = (1, 2, 3, 4)
 PIECE = 1 << 20
 UND = "und"
 
 
-class Letters:
-    """Which code points are letters; made once in each Python worker."""
-
-    table: np.ndarray | None = None
-
-    @classmethod
-    def get(cls) -> np.ndarray:
-        if cls.table is None:
-            cls.table = np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
-        return cls.table
+def letters() -> np.ndarray:
+    """Which code points are letters."""
+    return once(("letters",), lambda: np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000))
 
 
 def subwords(text: str, buckets: int) -> Iterator[np.ndarray]:
@@ -52,7 +47,7 @@ def subwords(text: str, buckets: int) -> Iterator[np.ndarray]:
 
 
 def _grams(codes: np.ndarray, buckets: int) -> Iterator[np.ndarray]:
-    letter = Letters.get()[codes]
+    letter = letters()[codes]
     c = np.zeros(len(codes) + 2, np.uint64)
     c[1:-1] = np.where(letter, codes, 0)
     inner = c != 0
@@ -79,7 +74,8 @@ def _mixed(h: np.ndarray, n: int) -> np.ndarray:
 
 
 def counts_of(text: str | None, buckets: int) -> np.ndarray:
-    total = np.zeros(buckets, np.float32)
+    """How often each bucket is met in the whole text."""
+    total = np.zeros(buckets)
     for grams in subwords(text or "", buckets):
         total += np.bincount(grams, minlength=buckets)
     return total
@@ -93,16 +89,15 @@ class Model:
     temperature: float
     threshold: float
 
-    def scores(self, text: str | None) -> np.ndarray | None:
-        """Calibrated probabilities of the labels, or None for a text without a letter."""
-        total, n = np.zeros(len(self.labels)), 0
-        for grams in subwords(text or "", len(self.table)):
-            total += np.bincount(grams, minlength=len(self.table)) @ self.table if len(grams) > len(self.table) \
-                else self.table[grams].sum(axis=0, dtype=np.float64)
-            n += len(grams)
+    def identify(self, text: str | None) -> tuple[str, float, bool]:
+        """Label, calibrated score, accepted."""
+        counts = counts_of(text, len(self.table))
+        n = counts.sum()
         if n == 0 or not self.labels:
-            return None
-        return _softmax((total / n + self.bias) / self.temperature)
+            return UND, 0.0, False
+        p = _softmax((counts @ self.table / n + self.bias) / self.temperature)
+        k = int(p.argmax())
+        return self.labels[k], float(p[k]), bool(p[k] >= self.threshold)
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
@@ -134,14 +129,15 @@ def train(x: np.ndarray, y: np.ndarray, labels: list[str], dim: int = 16, epochs
             out -= step * (mean.T @ err)
             bias -= step * err.sum(axis=0)
             emb -= step * np.minimum(scale, 200) * grad
-    z = x @ emb @ out + bias
+    table = (emb @ out).astype(np.float32)
+    z = x @ table
     probe = cal if len(cal) else fit
-    grid = np.geomspace(0.05, 20, 60)
-    loss = [-np.log(np.maximum(_softmax(z[probe] / t)[np.arange(len(probe)), y[probe]], 1e-12)).mean() for t in grid]
+    grid = np.geomspace(1, 20, 40)
+    loss = [-np.log(np.maximum(_softmax((z[probe] + bias) / t)[np.arange(len(probe)), y[probe]], 1e-12)).mean() for t in grid]
     temperature = float(grid[int(np.argmin(loss))])
-    best = np.sort(_softmax(z[probe] / temperature).max(axis=1))
-    threshold = min(0.5, float(best[int((1 - keep) * len(best))])) if len(best) else 0.5
-    return Model(labels, (emb @ out).astype(np.float32), bias.astype(np.float64), temperature, threshold)
+    best = np.sort(_softmax((z[probe] + bias) / temperature).max(axis=1))
+    threshold = min(0.5, float(best[int((1 - keep) * len(best))]))
+    return Model(labels, table, bias.astype(np.float64), temperature, threshold)
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", per_label: int = 600,
@@ -177,20 +173,13 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_c
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """(row, lang_pred, score, accepted) from the whole text of each row; only the text goes to Python."""
+    small_batches(docs.sparkSession)
     rows = packed(docs)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("struct<lang_pred:string,score:double,accepted:boolean>")
     def identify(texts: pd.Series) -> pd.DataFrame:
         m = sent.value
-        out = []
-        for text in texts:
-            p = m.scores(text)
-            if p is None:
-                out.append((UND, 0.0, False))
-            else:
-                k = int(p.argmax())
-                out.append((m.labels[k], float(p[k]), bool(p[k] >= m.threshold)))
-        return pd.DataFrame(out, columns=["lang_pred", "score", "accepted"])
+        return pd.DataFrame([m.identify(t) for t in texts], columns=["lang_pred", "score", "accepted"])
 
     return rows.withColumn("_p", identify(F.col("row").getField(text_col))).select("row", "_p.*")

@@ -17,14 +17,13 @@ from __future__ import annotations
 import heapq
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import sentencepiece
 from pyspark.sql import Column, DataFrame, functions as F
 
-from fenloom.llm.common import packed, small_batches
+from fenloom.llm.common import once, packed, small_batches
 
 SPACE = "▁"
 LONG, CALL = 48, 1 << 20
@@ -241,9 +240,8 @@ def _parts(text: str) -> Iterator[tuple[int, str]]:
         yield at, text[at:]
 
 
-@lru_cache(maxsize=4)
 def pieces(path: str) -> Pieces:
-    return Pieces(path)
+    return once(("pieces", path), lambda: Pieces(path))
 
 
 def _lists(ids: np.ndarray, counts: np.ndarray) -> pa.ListArray:

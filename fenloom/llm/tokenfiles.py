@@ -18,7 +18,6 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.taskcontext import TaskContext
 
-from fenloom.llm.common import small_batches, text_of
+from fenloom.llm.common import once, small_batches, text_of
 
 BLOCK_BYTES = 1 << 20
 CACHE = 400_000
@@ -73,9 +72,8 @@ class Encoder:
         return out
 
 
-@lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
-    return Encoder(path)
+    return once(("encoder", path), lambda: Encoder(path))
 
 
 def _ids_of(path: str, end: int):

@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from fenloom.llm.common import components, packed
+from fenloom.llm.common import by_tile, components, in_blocks, packed, roots
 from fenloom.session import cut_lineage
 
 PROBES = 3
@@ -54,7 +54,7 @@ def unit_rows(v: np.ndarray) -> np.ndarray:
 def bucket_codes(v: np.ndarray, tables: int, functions: int, seed: int) -> np.ndarray:
     """``n x tables x PROBES`` bucket numbers, the own bucket first."""
     n, d = v.shape
-    width = 1 << max(1, (d - 1).bit_length())
+    width = max(16, 1 << (d - 1).bit_length())  # with few axes there are few distinct rotations
     v = np.pad(unit_rows(v), ((0, 0), (0, width - d)))
     out, i = np.zeros((n, tables, PROBES), np.int64), np.arange(n)
     for t in range(tables):
@@ -119,30 +119,12 @@ def tile_links(v: np.ndarray, codes: np.ndarray, side: np.ndarray, tab: int, cod
     return a[first], b[first]
 
 
-def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    label = np.arange(n)
-    while True:
-        new = label.copy()
-        np.minimum.at(new, a, label[b])
-        np.minimum.at(new, b, label[a])
-        new = np.minimum(new, new[new])
-        if (new == label).all():
-            return label
-        label = new
-
-
-def _tiles(cosine: float, tables: int):
-    names = [*TILE, "block", "cid", "copies", "v", "codes"]
+def _linker(cosine: float, tables: int):
     schema = pa.schema([("cid", pa.int64()), ("links", pa.int64()), ("root", pa.int64())])
 
     def work(key: tuple, rows: pa.Table) -> pa.RecordBatch | None:
         order = np.argsort(rows["cid"].to_numpy(), kind="stable")
         cid, copies, block = (rows[c].to_numpy()[order] for c in ("cid", "copies", "block"))
-        new = np.ones(len(cid), bool)
-        new[1:] = cid[1:] != cid[:-1]  # a vector whose probes coincide visits once
-        order, cid, copies, block = order[new], cid[new], copies[new], block[new]
-        if len(cid) < 2:
-            return None
         v = unit_rows(rows["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(rows), -1)[order])
         codes = rows["codes"].combine_chunks().flatten().to_numpy().reshape(len(rows), tables, PROBES)[order]
         bi, bj = key[4], key[5]
@@ -153,28 +135,10 @@ def _tiles(cosine: float, tables: int):
         if not len(a):
             return None
         links = np.bincount(a, copies[b], len(cid)) + np.bincount(b, copies[a], len(cid))
-        root, some = cid[_roots(len(cid), a, b)], links > 0
+        root, some = cid[roots(len(cid), a, b)], links > 0
         return pa.RecordBatch.from_arrays([pa.array(cid[some]), pa.array(links[some].astype(np.int64)), pa.array(root[some])], schema=schema)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        last = None
-        for b in batches:
-            if not b.num_rows:
-                continue
-            keys = list(zip(*[b.column(i).to_pylist() for i in range(len(TILE))]))
-            cuts = [0, *[i for i in range(1, len(keys)) if keys[i] != keys[i - 1]], len(keys)]
-            for lo, hi in zip(cuts[:-1], cuts[1:]):
-                if keys[lo] != last and held:
-                    if sum(h.num_rows for h in held) > 1 and (out := work(last, pa.Table.from_batches(held))):
-                        yield out
-                    held = []
-                last = keys[lo]
-                held.append(b.slice(lo, hi - lo).select(names))
-        if held and (out := work(last, pa.Table.from_batches(held))):
-            yield out
-
-    return run
+    return work
 
 
 def near_vectors(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label",
@@ -196,25 +160,17 @@ def near_vectors(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "emb
 
     usable = classes.filter("usable").withColumn("dim", F.size("v"))
     most = usable.groupBy("label", "dim").count().agg(F.max(F.struct("count", "dim"))).first()[0]
-    functions = max(2, math.ceil(math.log(most["count"]) / math.log(2 * max(2, most["dim"])))) if most else 2
+    functions = max(2, math.ceil(math.log(most["count"]) / math.log(2 * max(16, most["dim"])))) if most else 2
     tables = 4 + 2 * (functions - 1)
     codes = usable.select("cid", "v").mapInArrow(_hasher(tables, functions, seed), "cid long, codes array<long>")
     codes = cut_lineage(usable.join(codes, "cid").select("cid", "label", "dim", "copies", "v", "codes"), "codes")
 
     visits = codes.select("cid", "label", "dim", F.posexplode("codes").alias("p", "code")).select(
         "cid", "label", "dim", F.floor(F.col("p") / PROBES).cast("int").alias("tab"), "code").distinct()
-    place = ["label", "dim", "tab", "code"]
     # buckets of one vector end here; large ones are cut into blocks
-    sizes = visits.groupBy(place).agg(F.count("*").alias("n")).filter("n > 1")
-    visits = visits.join(sizes, place).withColumn("nb", F.ceil(F.col("n") / block).cast("int"))
-    visits = visits.withColumn("block", F.pmod(F.xxhash64(F.lit("block"), "cid"), "nb").cast("int"))
-    tiles = F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda k: F.struct(
-        F.least("block", k).alias("bi"), F.greatest("block", k).alias("bj")))
-    visits = visits.select("cid", *place, "block", F.inline(tiles))
+    visits = in_blocks(visits, ["label", "dim", "tab", "code"], "cid", block)
     full = visits.join(codes.select("cid", "copies", "v", "codes"), "cid")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found = cut_lineage(full.repartition(parts, *TILE).sortWithinPartitions(*TILE).select(*TILE, "block", "cid", "copies", "v", "codes").mapInArrow(
-        _tiles(cosine, tables), "cid long, links long, root long"), "found")
+    found = cut_lineage(by_tile(full, TILE, _linker(cosine, tables), "cid long, links long, root long"), "found")
 
     comp = components(found, "cid", "root").withColumnRenamed("id", "cid")
     of = classes.select("cid", "h1", "h2", "id", "copies", "usable").join(comp, "cid", "left").withColumn(
