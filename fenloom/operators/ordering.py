@@ -17,19 +17,17 @@ ROWS_PER_RANGE = 1_000_000
 
 
 def with_ranges(df: DataFrame, order: str, ranges: int | None = None) -> tuple[DataFrame, int]:
-    """Add ``_range``, an integer growing with ``order`` (numeric)."""
+    """Add ``_range``, an integer growing with ``order``; equal values share a range.
+
+    Rows are range-partitioned by Spark and written, so that a range is the partition a row
+    fell into and stays so; no edges reach the driver or an expression.
+    """
     if ranges is None:
         ranges = pieces(df.count(), ROWS_PER_RANGE)
     if ranges <= 1:
         return df.withColumn("_range", F.lit(0)), 1
-    probs = [i / ranges for i in range(1, ranges)]
-    edges = df.agg(F.percentile_approx(order, probs, 10_000).alias("e")).first()["e"] or []
-    edges = sorted(set(edges))
-    if not edges:
-        return df.withColumn("_range", F.lit(0)), 1
-    edge_array = F.array(*[F.lit(e) for e in edges])
-    col = F.col(order)
-    return df.withColumn("_range", F.size(F.filter(edge_array, lambda e: e < col))), len(edges) + 1
+    placed = df.repartitionByRange(ranges, order).withColumn("_range", F.spark_partition_id())
+    return cut_lineage(placed, "ranges"), ranges
 
 
 def running_total(

@@ -174,13 +174,12 @@ def e9(spark, sf):
 
 
 @query("e8_unifrac", with_(CLOSURE, """pres AS (
-  SELECT DISTINCT l_suppkey AS s, node, length FROM lineitem JOIN closure ON tip = concat('t', l_partkey)
-  WHERE l_quantity >= 45)""", """tot AS (SELECT s, sum(length) AS t FROM pres GROUP BY 1)""", """num AS (
+  SELECT DISTINCT l_suppkey AS s, node, length FROM lineitem JOIN closure ON tip = concat('t', l_partkey))""", """tot AS (SELECT s, sum(length) AS t FROM pres GROUP BY 1)""", """num AS (
   SELECT a.s AS i, b.s AS j, sum(a.length) AS sh FROM pres a JOIN pres b ON a.node = b.node AND a.s < b.s GROUP BY 1, 2)""",
     body=f"""SELECT a.s AS i, b.s AS j, {rnd('(a.t + b.t - 2 * coalesce(sh, 0)) / (a.t + b.t - coalesce(sh, 0))')} AS d
 FROM tot a JOIN tot b ON a.s < b.s LEFT JOIN num ON num.i = a.s AND num.j = b.s"""))
 def e8(spark, sf):
-    counts = table(spark, sf, "lineitem").filter("l_quantity >= 45").select(
+    counts = table(spark, sf, "lineitem").select(
         F.col("l_suppkey").alias("sample_id"), F.concat(F.lit("t"), "l_partkey").alias("feature_id"),
         F.lit(1).alias("abundance"))
     return rounded(D.unifrac(counts, C.tip_closure(tree_edges(spark, sf))), "d")
@@ -190,19 +189,19 @@ def e8(spark, sf):
   SELECT sum(CASE WHEN treatment = 'ASIA' THEN 1 ELSE 0 END) AS nn, sum(CASE WHEN treatment <> 'ASIA' THEN 1 ELSE 0 END) AS np
   FROM samples)""", """t AS (SELECT feature_id, sum(CASE WHEN treatment = 'ASIA' THEN 1 ELSE 0 END)::BIGINT AS a,
   sum(CASE WHEN treatment <> 'ASIA' THEN 1 ELSE 0 END)::BIGINT AS b FROM pcounts JOIN samples USING (sample_id)
-  WHERE abundance >= 20 GROUP BY 1)""", """x AS (SELECT *, abs(a * (np - b) - b * (nn - a))::DOUBLE AS det FROM t, n)""",
+  WHERE abundance > 0 GROUP BY 1)""", """x AS (SELECT *, abs(a * (np - b) - b * (nn - a))::DOUBLE AS det FROM t, n)""",
     body=f"""SELECT feature_id, a AS in_neg, b AS in_pos, {rnd('''
   sqrt((nn + np) * power(greatest(det - least((nn + np) / 2, det), 0), 2)
     / nullif((a + b)::DOUBLE * (nn + np - a - b) * nn * np, 0)) * sign(a / nn - b / np)''')} AS z FROM x"""))
 def e19(spark, sf):
-    out = C.contaminants_prevalence(C.filter_low_counts(roles.part_counts(spark, sf), 20), roles.samples(spark, sf),
+    out = C.contaminants_prevalence(roles.part_counts(spark, sf), roles.samples(spark, sf),
                                     F.col("treatment") == "ASIA")
     return rounded(out, "z").select("feature_id", "in_neg", "in_pos", "z")
 
 
 @query("e19_contaminant_scores")
 def e19s(spark, sf):
-    out = C.contaminants_prevalence(C.filter_low_counts(roles.part_counts(spark, sf), 20), roles.samples(spark, sf),
+    out = C.contaminants_prevalence(roles.part_counts(spark, sf), roles.samples(spark, sf),
                                     F.col("treatment") == "ASIA")
     # the threshold is the method's usual default
     return out.withColumn("contaminant", F.col("score") < 0.1)
