@@ -26,8 +26,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from fenloom.llm.common import once, packed, small_batches
 
 SPACE = "▁"
-LONG, CALL = 48, 1 << 20
-NONE = np.int64(1 << 40)
+LONG, CALL = 48, 1 << 18
+NONE = np.int32(1 << 30)
 U = np.uint64
 
 
@@ -83,7 +83,7 @@ class Pieces:
         """Order and id of the piece that each pair joins to; order NONE where there is none."""
         key = a.astype(np.int64) << 32 | b
         at = self._slot(key)
-        rank, to = np.full(len(key), NONE), np.full(len(key), -1, np.int32)
+        rank, to = np.full(len(key), NONE, np.int32), np.full(len(key), -1, np.int32)
         left = np.arange(len(key))
         while len(left):
             got = self.keys[at[left]]
@@ -160,10 +160,10 @@ class Pieces:
         return ids, np.bincount(of, minlength=len(parts))
 
     def _side_by_side(self, start, length, sid, out, kept) -> None:
-        unit = np.repeat(np.arange(len(start)), length)
-        pos = np.arange(len(unit)) - np.repeat(np.cumsum(length) - length, length) + start[unit]
+        unit = np.repeat(np.arange(len(start), dtype=np.int32), length)
+        pos = (np.arange(len(unit)) + np.repeat(start - np.cumsum(length) + length, length)).astype(np.int32)
         end, ids = pos + 1, sid[pos]
-        rank, to = np.full(len(pos), NONE), np.full(len(pos), -1, np.int32)
+        rank, to = np.full(len(pos), NONE, np.int32), np.full(len(pos), -1, np.int32)
 
         def fill(i):
             r, t = self.join(ids[i], ids[i + 1])
@@ -249,17 +249,6 @@ def _lists(ids: np.ndarray, counts: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids, pa.int32()))
 
 
-def ids_of(text: Column, key: Column, path: str, dropout: float, seed: int, epoch: int) -> Column:
-    """array<int>: the ids of each text, drawn by ``key`` (seed, epoch and the given column)."""
-
-    @F.arrow_udf("array<int>")
-    def encode(texts: pa.Array, keys: pa.Array) -> pa.Array:
-        p = pieces(path)
-        return _lists(*p.encode(texts.to_pylist(), keys.to_numpy(zero_copy_only=False).view(U), dropout))
-
-    return encode(text, F.xxhash64(F.lit(seed), F.lit(epoch), key))
-
-
 def text_from(ids: Column, path: str) -> Column:
     @F.arrow_udf("string")
     def decode(lists: pa.Array) -> pa.Array:
@@ -272,8 +261,19 @@ def text_from(ids: Column, path: str) -> Column:
 
 def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", dropout: float = 0.1,
                      seed: int = 5, epoch: int = 0) -> DataFrame:
-    """(row, ids) for each document."""
+    """(row, ids) for each document; the draw's key is (seed, epoch, id).
+
+    A step of its own, as a column of ids would be worked out again for each use.
+    """
     small_batches(docs.sparkSession)
-    rows = packed(docs)
     row = F.col("row")
-    return rows.withColumn("ids", ids_of(row.getField(text_col), row.getField(id_col), path, dropout, seed, epoch))
+    rows = packed(docs).select("row", row.getField(text_col).alias("text"),
+                               F.xxhash64(F.lit(seed), F.lit(epoch), row.getField(id_col)).alias("key"))
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        p = pieces(path)
+        for b in batches:
+            ids = p.encode(b.column("text").to_pylist(), b.column("key").to_numpy().view(U), dropout)
+            yield pa.RecordBatch.from_arrays([b.column("row"), _lists(*ids)], names=["row", "ids"])
+
+    return rows.mapInArrow(encode, f"row {dict(rows.dtypes)['row']}, ids array<int>")
