@@ -4,14 +4,16 @@ from __future__ import annotations
 
 import sys
 import types
+import uuid
 from collections.abc import Callable, Iterator, Sequence
 from typing import Any
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from fenloom.session import cut_lineage
+from fenloom.session import cut_lineage, scratch_path
 
 #: A word: a run of letters or digits, or of anything outside ASCII.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -154,3 +156,31 @@ def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         if (new == label).all():
             return label
         label = new
+
+
+def chunked(rows: DataFrame, chunks: int, name: str) -> DataFrame:
+    """``rows`` written with their ``chunk``, the partition that numbered their ``rid``.
+
+    The table is bucketed by chunk: what is known of a chunk joins its rows without moving them.
+    """
+    spark = rows.sparkSession
+    table = f"{name}_{uuid.uuid4().hex}"
+    rows.withColumn("chunk", F.shiftright("rid", 33)).write.bucketBy(max(1, chunks), "chunk").option(
+        "path", scratch_path(spark, name)).saveAsTable(table)
+    return spark.table(table)
+
+
+def chosen(table: DataFrame, rids: DataFrame) -> DataFrame:
+    """The rows of a :func:`chunked` table whose ``rid`` is among ``rids``; only bits are shuffled."""
+
+    def pack(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        pos = part["pos"].to_numpy()
+        flags = np.zeros((int(pos.max()) + 64) // 64 * 64, np.uint8)
+        flags[pos] = 1
+        return pd.DataFrame({"chunk": [key[0]], "words": [np.packbits(flags, bitorder="little").view("<i8")]})
+
+    pos = F.col("rid").bitwiseAND((1 << 33) - 1)
+    bits = rids.select(F.shiftright("rid", 33).alias("chunk"), pos.alias("pos")).groupBy("chunk").applyInPandas(
+        pack, "chunk long, words array<long>")
+    bit = F.expr("bit_get(get(words, cast(shiftright(rid & 8589934591, 6) AS int)), cast(rid & 63 AS int)) = 1")
+    return table.join(bits.hint("shuffle_hash"), "chunk").filter(bit).drop("words", "chunk")

@@ -7,12 +7,12 @@ each of ``k`` coordinates is the signature. Two documents agree in a coordinate
 sum(min) / sum(max) of their weights, the similarity used here. Darts are thrown slab by slab of
 rank until all coordinates are filled, so the work follows the elements, not elements times k.
 
-Documents with equal words (told by two 64-bit hashes) are one class and only classes are compared. Classes that share a
-band of the signature are candidates. They are not expanded into pairs: each bucket first checks
-its members against one leader (the class that shares most buckets), links are closed into
-components, and only buckets that still hold several components check those outside the largest
-one against the rest. Every candidate pair is thereby checked or already in one component. A
-check is exact, on the sets of (shingle, occurrence) pairs.
+Documents with equal words (told by two 64-bit hashes) are one class and only classes are
+compared. Classes that share a band of the signature are candidates. They are not expanded into
+pairs: each bucket first checks its members against one leader (the class that shares most
+buckets), links are closed into components, and only buckets whose other members still form
+several components are compared as tiles of a matrix product. Every candidate pair is thereby
+checked or already in one component. A check is exact, on the sets of (shingle, occurrence) pairs.
 
 Null and empty texts, and texts without a word, are groups of their own. Rows repeated with one
 id are separate rows of one class. Null ids come last when the row that stays is chosen.
@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from fenloom.llm.common import by_tile, components, in_blocks, packed, roots, small_batches, text_of, unpacked
+from fenloom.llm.common import by_tile, chosen, chunked, components, in_blocks, packed, roots, small_batches, text_of, unpacked
 from fenloom.session import cut_lineage
 
 FLOOR, FLAT = 12, 4  # rank slabs: [0, 2**-12), doubled up to 2**-4, then all of that length
@@ -310,9 +310,10 @@ class NearDuplicates:
                                    text_of(row.getField(text_col)).alias("text"), *["row"] * keep_rows)
         kinds = ", ".join(f"{c} {t}" for c, t in rows.drop("text").dtypes)
         # one pass over the texts, written: the numbers given to rows must not depend on a later reading
-        self.signed = cut_lineage(rows.mapInArrow(
+        self.signed = chunked(rows.mapInArrow(
             _signer(k, band_rows, size, seed),
-            f"{kinds}, h1 long, h2 long, bands array<long>, sketch array<long>, members array<int>"), "signed")
+            f"{kinds}, h1 long, h2 long, bands array<long>, sketch array<long>, members array<int>"),
+            docs.rdd.getNumPartitions(), "signed")
         alone = F.col("h1").isNull()
         self.keys = self.signed.select("rid", "id", F.coalesce("h1", "rid").alias("h1"), F.when(alone, 0).otherwise(F.col("h2")).alias("h2"),
                                        alone.alias("alone"))
@@ -336,17 +337,19 @@ class NearDuplicates:
 
     def _check(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) that are similar."""
-        sets = self.signed.select("rid", "members")
+        sets = self.sets
         left = sets.select(F.col("rid").alias("a"), F.col("members").alias("x"))
         right = sets.select(F.col("rid").alias("b"), F.col("members").alias("y"))
         return pairs.join(right, "b").join(left, "a").filter(self._similar(F.col("x"), F.col("y"))).select("a", "b")
 
     def _group(self) -> DataFrame:
-        reps = self.classes.select("rid")
-        entries = self.signed.join(reps, "rid", "left_semi").select("rid", F.explode("bands").alias("key"))
+        entries = chosen(self.signed.select("rid", "chunk", "bands"), self.classes.select("rid")).select(
+            "rid", F.explode("bands").alias("key"))
         sizes = entries.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
         shared = cut_lineage(entries.join(sizes, "key"), "shared")
-        about = self.signed.select("rid", F.size("members").alias("n"), "sketch").join(
+        live = cut_lineage(chosen(self.signed.select("rid", "chunk", "sketch", "members"), shared.select("rid").distinct()), "live")
+        self.sets = live.select("rid", "members")
+        about = live.select("rid", F.size("members").alias("n"), "sketch").join(
             shared.groupBy("rid").agg(F.sum("size").alias("reach")), "rid")
         leaders = shared.select("rid", "key").join(about, "rid").groupBy("key").agg(F.max(F.struct(
             "reach", F.col("rid").alias("a"), F.col("n").alias("n2"), F.col("sketch").alias("sketch2"))).alias("top"))
@@ -376,7 +379,7 @@ class NearDuplicates:
                                           F.sum(F.xxhash64("rid").cast("decimal(38,0)")).alias("who")).filter("low < high")
         several = several.groupBy("who", "c").agg(F.min("key").alias("key")).select("key")
         rows = in_blocks(cut_lineage(held.join(several, "key"), "held"), ["key"], "rid", self.block)
-        rows = rows.join(self.signed.select("rid", "members"), "rid")
+        rows = rows.join(self.sets, "rid")
         return by_tile(rows, ["key", "bi", "bj"], _linker(round(self.threshold * 1000)), "a long, b long")
 
     def report(self) -> DataFrame:
@@ -387,4 +390,4 @@ class NearDuplicates:
     def kept(self) -> DataFrame:
         """One row of each group, with the columns it came with; needs ``keep_rows``."""
         stay = self.groups.select(F.col("keep_rid").alias("rid")).distinct()
-        return unpacked(self.signed.select("rid", "row").join(stay, "rid", "left_semi"), self.names)
+        return unpacked(chosen(self.signed.select("rid", "chunk", "row"), stay), self.names)
