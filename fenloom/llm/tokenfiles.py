@@ -28,8 +28,7 @@ from pyspark.taskcontext import TaskContext
 from fenloom.llm.common import once, small_batches, text_of
 
 BLOCK_BYTES = 1 << 20
-CACHE = 400_000
-WHITE = " \t\n\r\x0b\x0c"
+CACHE = 600_000
 
 
 class Encoder:
@@ -44,32 +43,42 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
-        self.known: dict[bytes, list[int]] = {}
+        self.known: dict[bytes, bytes] = {}
 
     def whole(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def encode(self, texts: list[str | None], end: int) -> list[np.ndarray]:
+    def _words(self, words: list[bytes]) -> dict[bytes, bytes]:
+        """The serialised ids of each word."""
+        got = self.tokenizer.encode([w.decode() for w in words], is_pretokenized=True, add_special_tokens=False)
+        ids, of = np.array(got.ids, f"<u{self.width}"), np.array(got.word_ids, np.int64)
+        raw, at = ids.tobytes(), np.searchsorted(of, np.arange(len(words) + 1)) * self.width
+        return {w: raw[a:b] for w, a, b in zip(words, at[:-1].tolist(), at[1:].tolist())}
+
+    def encode(self, texts: list[str | None], end: int) -> list[bytes]:
+        """Serialised ids of each text, the end id last."""
         split = [(t or "").encode().split() for t in texts]
         known = self.known
-        new = list({w for words in split for w in words if w not in known})
-        if len(known) + len(new) > CACHE:
-            known.clear()
-            new = list({w for words in split for w in words})
+        new = sorted(set().union(*split).difference(known))
         if new:
-            got = self.tokenizer.encode([w.decode() for w in new], is_pretokenized=True, add_special_tokens=False)
-            ids = [[] for _ in new]
-            for i, k in zip(got.ids, got.word_ids):
-                ids[k].append(i)
-            known.update(zip(new, ids))
-        out = []
-        for words in split:
-            flat: list[int] = []
-            for w in words:
-                flat += known[w]
-            flat.append(end)
-            out.append(np.array(flat, f"<u{self.width}"))
-        return out
+            found = self._words(new)
+            if len(known) + len(found) <= CACHE:
+                known.update(found)
+            else:  # the words met first are the common ones and stay
+                known = _Both(known, found)
+        get, stop = known.__getitem__, np.array([end], f"<u{self.width}").tobytes()
+        return [b"".join([*map(get, words), stop]) for words in split]
+
+
+class _Both(dict):
+    """The words of a batch beside the kept ones."""
+
+    def __init__(self, kept: dict, found: dict):
+        super().__init__(found)
+        self.kept = kept
+
+    def __missing__(self, word: bytes) -> bytes:
+        return self.kept[word]
 
 
 def encoder(path: str) -> Encoder:
@@ -80,7 +89,7 @@ def _ids_of(path: str, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids = encoder(path).encode(b.column("text").to_pylist(), end)
-            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in ids], pa.binary())], names=["ids"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary())], names=["ids"])
 
     return run
 
@@ -123,8 +132,8 @@ def _frames(path: str, end: int, dictionary: bytes, level: int):
             kind = b.column(0).type
             coder = encoder(path)
             for doc, ids in zip(b.column(0).to_pylist(), coder.encode(b.column(1).to_pylist(), end)):
-                frame = pack.compress(ids.tobytes())
-                held.append((doc, len(ids), frame))
+                frame = pack.compress(ids)
+                held.append((doc, len(ids) // coder.width, frame))
                 size += len(frame)
                 if size >= BLOCK_BYTES:
                     yield flush()

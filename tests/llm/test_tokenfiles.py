@@ -16,7 +16,16 @@ TEXTS = ["a<|endoftext|>b  c", "Σας ΟΔΟΣ ΟΔΟΣ. x", "é ́a", "a b　c
 def test_words_encoded_alone_give_the_ids_of_the_text():
     e = tokenfiles.Encoder(PATH)
     for text, ids in zip(TEXTS, e.encode(TEXTS, 2)):
-        assert ids.tolist() == e.whole(text or "") + [2]
+        assert np.frombuffer(ids, "<u2").tolist() == e.whole(text or "") + [2]
+
+
+def test_a_full_cache_changes_nothing(monkeypatch):
+    monkeypatch.setattr(tokenfiles, "CACHE", 5)
+    e = tokenfiles.Encoder(PATH)
+    for _ in range(2):
+        for text in TEXTS:
+            assert np.frombuffer(e.encode([text], 2)[0], "<u2").tolist() == e.whole(text or "") + [2]
+    assert len(e.known) <= 5
 
 
 def _want(rows):
