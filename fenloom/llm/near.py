@@ -129,21 +129,21 @@ IS_WORD = ((_BYTE >= 0x30) & (_BYTE <= 0x39)) | ((_BYTE | 0x20) >= 0x61) & ((_BY
 LOWERED = np.where((_BYTE >= 0x41) & (_BYTE <= 0x5A), _BYTE + 32, _BYTE).astype(np.uint8)
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, piece: int = 1 << 22) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(data: np.ndarray, starts: np.ndarray, piece: int = 1 << 22, is_word: np.ndarray = IS_WORD) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the lower-cased words of texts laid end to end in bytes, and where each text's words
-    start among them (one entry more than texts)."""
+    start among them (one entry more than texts). ``is_word`` tells which bytes make up words."""
     found, places, at = [], [], 0
     while at < len(data):
         end = min(len(data), at + piece)
         if end < len(data):  # cut where no word is cut
-            gaps = np.flatnonzero(~IS_WORD[data[at:end]])
+            gaps = np.flatnonzero(~is_word[data[at:end]])
             if len(gaps):
                 end = at + int(gaps[-1]) + 1
             else:
-                gaps = np.flatnonzero(~IS_WORD[data[end:]])
+                gaps = np.flatnonzero(~is_word[data[end:]])
                 end = end + int(gaps[0]) + 1 if len(gaps) else len(data)
         part = data[at:end]
-        inside = IS_WORD[part]
+        inside = is_word[part]
         first = inside.copy()
         first[1:] &= ~inside[:-1]
         edge = starts[np.searchsorted(starts, at): np.searchsorted(starts, end)] - at

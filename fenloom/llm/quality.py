@@ -1,14 +1,14 @@
 """Quality scores from a sparse rule ensemble.
 
-Statistics of the whole text are Spark columns. On a bounded sample of labelled rows the driver
+Statistics of the whole text come from one pass over its bytes. On a bounded sample of labelled rows the driver
 grows small trees, each on a random half of the rows and of the statistics, fitted to what the
 trees before leave. Every path from a root is a rule, a conjunction of comparisons. A lasso
 logistic regression (proximal gradient) keeps few of the rules, and the kept ones become one
-Spark expression, so that scoring is a projection without Python.
+Spark expression over the statistics.
 
 Null and empty texts have statistics of 0 and are scored like any other text. Rows with a null
 label are not learned from; a label repeated for one id counts once. If only one
-label value is known, or none, every score is its share (0.5 with none).
+label value is known, or too few rows to split, every score is the share of 1 (0.5 with none).
 """
 
 from __future__ import annotations
@@ -17,44 +17,88 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from fenloom.llm.common import GAP, held_out, packed, text_of
+from fenloom.llm.common import held_out, packed, small_batches, text_of
+from fenloom.llm.near import word_hashes
 
-#: name -> share of characters that match, by pattern.
+_B = np.arange(256)
+_MARK = ((_B >= 0x21) & (_B <= 0x7E)) & ~((_B >= 0x30) & (_B <= 0x39)) & ~(((_B | 0x20) >= 0x61) & ((_B | 0x20) <= 0x7A))
+BLANK = (_B == 0x20) | ((_B >= 0x09) & (_B <= 0x0D))
+#: name -> share of a text's characters that are among these bytes.
 SHARES = {
-    "letters": r"[^\x00-\x40\x5B-\x60\x7B-\x7F]",
-    "capitals": r"\p{Lu}",
-    "digits": r"[0-9]",
-    "marks": r"[\x21-\x2F\x3A-\x40\x5B-\x60\x7B-\x7E]",
-    "odd_marks": r"[#$%&*+/<=>@\\^_`{|}~]",
-    "bars": r"\|",
-    "shouts": r"!!",
-    "blanks": r"[\x20\x09-\x0D]",
-}
-#: name -> number for each word, by pattern.
-PER_WORD = {
-    "full_stops": r"[.!?](?=[\x20\x09-\x0D]|$)",
-    "capital_starts": r"(?<![^\x20\x09-\x0D])\p{Lu}",
-    "commas": r",",
-    "repeats": r"(?<![^\x20\x09-\x0D])([^\x20\x09-\x0D]+)[\x20\x09-\x0D]+\1(?![^\x20\x09-\x0D])",
+    "letters": (((_B | 0x20) >= 0x61) & ((_B | 0x20) <= 0x7A) & (_B < 0x80)) | (_B >= 0xC0),
+    "capitals": (_B >= 0x41) & (_B <= 0x5A),
+    "digits": (_B >= 0x30) & (_B <= 0x39),
+    "marks": _MARK,
+    "odd_marks": np.isin(_B, list(b"#$%&*+/<=>@\\^_`{|}~")),
+    "bars": _B == ord("|"),
+    "shouts": _B == ord("!"),
+    "blanks": BLANK,
 }
+STATISTICS = ["log_chars", "log_words", *SHARES, "full_stops", "capital_starts", "commas", "repeats", "word_length",
+              "distinct_words", "distinct_lines", "words_a_line"]
+
+
+def measure(data: np.ndarray, starts: np.ndarray) -> dict[str, np.ndarray]:
+    """The statistics of texts laid end to end in UTF-8 bytes; shares are of characters, ends and repeats of words."""
+
+    def count(mask: np.ndarray) -> np.ndarray:
+        total = np.concatenate([[0], np.cumsum(mask, dtype=np.int64)])
+        return np.diff(total[starts]).astype(float)
+
+    def distinct(hashes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        n = np.diff(at)
+        doc = np.repeat(np.arange(len(n)), n)
+        order = np.lexsort((hashes, doc))
+        h, d = hashes[order], doc[order]
+        new = np.ones(len(h), bool)
+        new[1:] = (h[1:] != h[:-1]) | (d[1:] != d[:-1])
+        return n.astype(float), np.bincount(d[new], minlength=len(n)).astype(float)
+
+    chars = count((data & 0xC0) != 0x80)
+    words, at = word_hashes(data, starts, is_word=~BLANK)
+    n_words, kinds = distinct(words, at)
+    n_lines, line_kinds = distinct(*word_hashes(data, starts, is_word=_B != 0x0A))
+    blank = BLANK[data]
+    first, last = np.zeros(len(data), bool), np.zeros(len(data), bool)
+    first[starts[:-1][np.diff(starts) > 0]] = True
+    last[starts[1:][np.diff(starts) > 0] - 1] = True
+    before, after = first.copy(), last.copy()
+    before[1:] |= blank[:-1]
+    after[:-1] |= blank[1:]
+    same = np.zeros(len(words), bool)
+    same[1:] = words[1:] == words[:-1]
+    same[at[:-1][np.diff(at) > 0]] = False
+    repeats = np.diff(np.concatenate([[0], np.cumsum(same)])[at]).astype(float)
+    c, w, lines = np.maximum(chars, 1), np.maximum(n_words, 1), np.maximum(n_lines, 1)
+    out = {"log_chars": np.log1p(chars), "log_words": np.log1p(n_words)}
+    out |= {k: count(table[data]) / c for k, table in SHARES.items()}
+    out["full_stops"] = count(np.isin(data, list(b".!?")) & after) / w
+    out["capital_starts"] = count(SHARES["capitals"][data] & before) / w
+    out["commas"] = count(data == ord(",")) / w
+    out |= {"repeats": repeats / w, "word_length": chars / w, "distinct_words": kinds / w,
+            "distinct_lines": line_kinds / lines, "words_a_line": n_words / lines}
+    return out
 
 
-def statistics(text: Column) -> dict[str, Column]:
-    """Columns over a text, a chain of expressions the planner computes once per row."""
-    chars = F.greatest(F.length(text), F.lit(1)).cast("double")
-    words = F.split(F.trim(F.regexp_replace(text, GAP, " ")), " ")
-    n_words = F.size(words).cast("double")
-    lines = F.split(text, "\n")
-    out = {"log_chars": F.log1p(F.length(text).cast("double")), "log_words": F.log1p(n_words)}
-    out |= {k: F.regexp_count(text, F.lit(p)) / chars for k, p in SHARES.items()}
-    out |= {k: F.regexp_count(text, F.lit(p)) / n_words for k, p in PER_WORD.items()}
-    out["word_length"] = F.length(text) / n_words
-    out["distinct_words"] = F.size(F.array_distinct(words)) / n_words
-    out["distinct_lines"] = F.size(F.array_distinct(lines)) / F.size(lines).cast("double")
-    out["words_a_line"] = n_words / F.size(lines)
-    return out
+def statistics(text: Column) -> Column:
+    """A struct of all statistics of a whole text, worked out on its bytes."""
+
+    @F.arrow_udf("struct<" + ", ".join(f"{k}: double" for k in STATISTICS) + ">")
+    def of(texts: pa.Array) -> pa.Array:
+        starts = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset: texts.offset + len(texts) + 1].astype(np.int64)
+        data = np.frombuffer(texts.buffers()[2], np.uint8) if texts.buffers()[2] else np.zeros(0, np.uint8)
+        parts, lo = [], 0
+        while lo < len(texts):  # a few MB at a time
+            hi = max(lo + 1, int(np.searchsorted(starts, starts[lo] + (1 << 22), "right")) - 1)
+            parts.append(measure(data[starts[lo]: starts[hi]], starts[lo: hi + 1] - starts[lo]))
+            lo = hi
+        return pa.StructArray.from_arrays(
+            [pa.array(np.concatenate([p[k] for p in parts]) if parts else np.zeros(0)) for k in STATISTICS], STATISTICS)
+
+    return of(text)
 
 
 Rule = tuple[tuple[str, str, float], ...]
@@ -138,9 +182,10 @@ def lasso(z: np.ndarray, y: np.ndarray, penalty: float, steps: int = 400) -> tup
 
 
 def train(x: pd.DataFrame, y: np.ndarray, trees: int = 60, depth: int = 3, penalty: float = 1e-3, seed: int = 13) -> Model:
+    share = float(y.mean()) if len(y) else 0.5
+    constant = Model(float(np.clip(np.log(max(share, 1e-6) / max(1 - share, 1e-6)), -6, 6)), [])
     if len(y) == 0 or y.min() == y.max():
-        share = float(y.mean()) if len(y) else 0.5
-        return Model(float(np.clip(np.log(max(share, 1e-6) / max(1 - share, 1e-6)), -6, 6)), [])
+        return constant
     rng = np.random.default_rng(seed)
     names, rules, f = list(x.columns), [], np.full(len(y), 0.0)
     for _ in range(trees):
@@ -155,6 +200,8 @@ def train(x: pd.DataFrame, y: np.ndarray, trees: int = 60, depth: int = 3, penal
             leaf[at] = g[at].mean() if at.any() else 0
         f += 0.5 * leaf * 4
     rules = list(dict.fromkeys(rules))
+    if not rules:  # too few rows to split
+        return constant
     z = np.stack([holds(r, x) for r in rules], axis=1).astype(float)
     bias, w = lasso(z, y.astype(float), penalty)
     return Model(bias, [(r, float(v)) for r, v in zip(rules, w) if abs(v) > 1e-4])
@@ -171,16 +218,15 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     # a bounded number of rows, sent to where the documents are
     known = F.broadcast(known.filter(draw * n < sample))
     got = d.join(known, "id")
-    stat = statistics(F.col("text"))
-    got = got.select("id", "y", *[c.alias(k) for k, c in stat.items()]).toPandas().sort_values(["id", "y", *stat], kind="stable")
-    return train(got[list(stat)].reset_index(drop=True), got["y"].to_numpy())
+    small_batches(docs.sparkSession)
+    got = got.select("id", "y", statistics(F.col("text")).alias("s")).select("id", "y", "s.*")
+    got = got.toPandas().sort_values(["id", "y", *STATISTICS], kind="stable")
+    return train(got[STATISTICS].reset_index(drop=True), got["y"].to_numpy())
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", cut: float = 0.7) -> DataFrame:
     """(row, score, predicted)."""
-    rows = packed(docs).withColumn("text", text_of(F.col("row").getField(text_col)))
-    used = {name for rule, _ in model.rules for name, _, _ in rule}
-    stat = {k: c for k, c in statistics(F.col("text")).items() if k in used}
-    rows = rows.select("row", *[c.alias(k) for k, c in stat.items()])
-    rows = rows.withColumn("score", model.column({k: F.col(k) for k in stat}))
+    small_batches(docs.sparkSession)
+    rows = packed(docs).withColumn("s", statistics(text_of(F.col("row").getField(text_col))))
+    rows = rows.withColumn("score", model.column({k: F.col("s").getField(k) for k in STATISTICS}))
     return rows.select("row", "score", (F.col("score") >= cut).cast("int").alias("predicted"))

@@ -14,12 +14,22 @@ def test_held_out_labels_and_compiled_rules(spark):
     got = quality.score(docs, model).select("row.doc_id", "score", "predicted").join(labels, "doc_id").filter(
         "crc32(cast(doc_id as string)) % 4 = 2").toPandas()
     assert (got["predicted"] == got["quality"]).mean() > 0.95
-    stat = quality.statistics(F.coalesce("text", F.lit("")))
-    x = docs.select("doc_id", *[c.alias(k) for k, c in stat.items()]).toPandas().set_index("doc_id")
+    x = docs.select("doc_id", quality.statistics(F.coalesce("text", F.lit(""))).alias("s")).select("doc_id", "s.*").toPandas().set_index("doc_id")
     mine = quality.score(docs, model).select("row.doc_id", "score").toPandas().set_index("doc_id")["score"]
     assert np.allclose(model.score(x.loc[mine.index]), mine)
 
 
+def test_statistics():
+    texts = ["Ab, cd. AB, x\nAb, cd. AB, x", "", "é É!! | 12", " \n "]
+    raw = [t.encode() for t in texts]
+    got = quality.measure(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0] + [len(r) for r in raw]))
+    assert sorted(got) == sorted(quality.STATISTICS)
+    assert np.allclose(np.expm1(got["log_chars"]), [27, 0, 10, 3]) and np.allclose(np.expm1(got["log_words"]), [8, 0, 4, 0])
+    assert got["distinct_words"][0] == 3 / 8 and got["distinct_lines"][0] == 0.5 and got["full_stops"][0] == 2 / 8
+    assert got["capital_starts"][0] == 4 / 8 and got["bars"][2] == 0.1 and got["digits"][2] == 0.2 and got["shouts"][2] == 0.2
+    assert got["commas"][0] == 4 / 8 and got["repeats"][0] == 0 and got["words_a_line"][0] == 4
+
+
 def test_tree_splits_where_the_residuals_do():
     x = pd.DataFrame({"a": [0.0, 1, 2, 3, 4, 5], "b": [1.0] * 6})
     rules, fit = quality.grow(x, np.array([0, 0, 0, 1.0, 1, 1]), ["a", "b"], 1, 1)
