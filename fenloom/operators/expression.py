@@ -290,7 +290,8 @@ def log_linear_bc(counts: DataFrame, samples: DataFrame, factor: str, levels: Se
     rows = [
         F.struct(F.lit(f"{levels[b]}_vs_{levels[a]}").alias("contrast"),
                  (F.col(f"s_{b}") / n[b] - F.col(f"s_{a}") / n[a]).alias("raw"),
-                 F.sqrt(s2 * (1 / n[a] + 1 / n[b])).alias("se"))
+                 F.sqrt(s2 * (1 / n[a] + 1 / n[b])).alias("se"),
+                 F.try_divide(n[a] * n[b] / total, s2).alias("precision"))
         for a in range(len(levels)) for b in range(a + 1, len(levels))]
     per = cut_lineage(per)
     long = per.select("feature_id", (total - len(levels)).alias("df"), F.explode(F.array(*rows)).alias("r")).select(
@@ -298,7 +299,7 @@ def log_linear_bc(counts: DataFrame, samples: DataFrame, factor: str, levels: Se
     bias = exact_quantiles(long, ["contrast"], "raw", {"bias": 0.5}).select("contrast", "bias")
     return long.join(bias, "contrast").select(
         "feature_id", "contrast", (F.col("raw") - F.col("bias")).alias("lfc"), "se", "bias",
-        F.try_divide(F.col("raw") - F.col("bias"), F.col("se")).alias("w"), "df")
+        F.try_divide(F.col("raw") - F.col("bias"), F.col("se")).alias("w"), "df", "precision")
 
 
 def diff_abundance(counts: DataFrame, samples: DataFrame, factor: str, levels: Sequence[str], prv_cut: float = 0.3,
@@ -309,11 +310,12 @@ def diff_abundance(counts: DataFrame, samples: DataFrame, factor: str, levels: S
 
 
 def global_test(fit: DataFrame, k: int) -> DataFrame:
-    """Any difference among ``k`` groups, from the pairwise statistics against the first.
+    """Any difference among ``k`` groups: the one-way F ratio of the corrected means.
 
-    The mean square of the pairwise statistics over all k(k-1)/2 pairs is an F ratio when
-    groups are of one size."""
-    per = fit.groupBy("feature_id").agg(F.avg(F.col("w") * F.col("w")).alias("f"), F.max("df").alias("df"))
+    The sum of squares between groups is the sum over pairs of n_a n_b / N times their squared
+    difference, whatever the sizes; ``precision`` holds that factor over the residual variance."""
+    per = fit.groupBy("feature_id").agg(
+        (F.sum(F.col("precision") * F.col("lfc") * F.col("lfc")) / (k - 1)).alias("f"), F.max("df").alias("df"))
     return per.withColumn("p", f_pvalue("f", F.lit(float(k - 1)), F.col("df").cast("double")))
 
 

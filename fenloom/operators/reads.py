@@ -124,6 +124,11 @@ def dereplicate(reads: DataFrame) -> DataFrame:
     return reads.groupBy("sample_id", F.md5("seq").alias("feature_id")).agg(F.count(F.lit(1)).alias("abundance"))
 
 
+def representative_sequences(reads: DataFrame) -> DataFrame:
+    """(feature_id, seq): the sequence behind each digest of :func:`dereplicate`."""
+    return reads.groupBy(F.md5("seq").alias("feature_id")).agg(F.first("seq").alias("seq"))
+
+
 def kmer_rows(df: DataFrame, text: str, k: int, out: str = "kmer") -> DataFrame:
     """One row per overlapping k-mer of the whole text.
 
@@ -139,7 +144,9 @@ def kmer_rows(df: DataFrame, text: str, k: int, out: str = "kmer") -> DataFrame:
         return rows.filter(n >= k).select(*keep, text, at).select(
             *keep, F.substring(F.col(text), F.col("_p") * size + 1, F.lit(size + k - 1)).alias(text))
 
-    pieces = spread(cut(cut(df, PIECE * 10), WORD_PIECE), F.xxhash64(text))
+    # spread by place too: equal pieces, as in runs of one letter, must not meet in one task
+    pieces = cut(cut(df, PIECE * 10), WORD_PIECE).withColumn("_at", F.monotonically_increasing_id())
+    pieces = spread(pieces, "_at").drop("_at")
     return pieces.select(*keep, F.explode(kmers(text, k)).alias(out))
 
 

@@ -145,6 +145,25 @@ def z8(spark, sf):
     return doc_sketches(spark, sf)
 
 
+# invented bases, some soft-masked, with an N for each full stop
+DNA = "translate({}, 'abdefhijklmnopqrsuvwxyz ,.', 'acgtACGTacgtACGTacgtACGTaN')"
+
+
+@query("z8_sketch_dna", f"""
+WITH d AS (SELECT source, upper({DNA.format('text')}) AS text FROM documents),
+km AS (SELECT source, least(kmer, reverse(translate(kmer, 'ACGT', 'TGCA'))) AS w FROM {_kmer_sql('source', 'd', K_LEN)} WHERE regexp_full_match(kmer, '[ACGT]+'))
+SELECT source AS sketch_id, ('0x' || substr(md5(w), 1, 15))::BIGINT AS hash, count(*) AS abund FROM km
+WHERE ('0x' || substr(md5(w), 1, 15))::BIGINT < {LIMIT} GROUP BY 1, 2""")
+def z8d(spark, sf):
+    docs = table(spark, sf, "documents").select(F.col("source").alias("sketch_id"), F.expr(DNA.format("text")).alias("seq"))
+    return K.sketch(docs, K_LEN, SCALED, method="md5")
+
+
+@query("z6_representatives", "SELECT md5(text) AS feature_id, any_value(text) AS seq FROM documents GROUP BY 1")
+def z6r(spark, sf):
+    return R.representative_sequences(table(spark, sf, "documents").select(F.col("text").alias("seq")))
+
+
 GATHER_ROUNDS = 60
 THRESHOLD = 2
 
