@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from fenloom.llm.common import GAP, packed, text_of, unpacked
-from fenloom.session import cut_lineage
+from fenloom.session import cut_lineage, spread
 
 WORDS = r"[^\x20\x09-\x0D]+"
 
@@ -122,7 +122,8 @@ class Mix:
         """All blocks: where each starts, whether it is chosen, and the chosen words before it in its shard."""
         edge = F.floor(F.col("block") * F.col("shard_size") / F.col("n_blocks"))
         by_draw = Window.partitionBy("sk", "shard").orderBy("draw", "block")
-        blocks = shards.repartition("sk", "shard").select(
+        # a number of tasks that follows the shards: a shard is a short row here and long after the explode
+        blocks = spread(shards, "sk", "shard", at_least=shards.count() // 16).select(
             "*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1)).alias("block"))
         blocks = blocks.withColumn("draw", self._seeded("block", F.concat_ws("|", "sk", "shard", "block"))).withColumn(
             "chosen", (F.row_number().over(by_draw) <= F.col("extra")).cast("long")).withColumn("block_start", edge.cast("long"))
@@ -182,3 +183,53 @@ def _name() -> Column:
 
 def _block_of(place: Column) -> Column:
     return F.floor(((place + 1) * F.col("n_blocks") - 1) / F.col("shard_size")).cast("long")
+
+
+def oracle() -> str:
+    """The mix of the table ``documents`` under the defaults, as SQL."""
+
+    def quotas(name: str, rows: str, group: str, key: str, votes: str, most: str) -> str:
+        same = " AND ".join(f"p.{k} IS NOT DISTINCT FROM w.{k}" for k in key.split(", "))
+        over = f"OVER (PARTITION BY {group})"
+        return f"""
+{name}0 AS (SELECT *, seats * {votes} / (sum({votes}) {over}) AS fair, {votes} / (sum({votes}) {over}) * ((count(*) {over}) / 2 + 1) + 2 AS slack,
+  {most} AS most FROM {rows} WHERE {votes} > 0),
+{name}1 AS (SELECT *, least(greatest(0, floor(fair - slack)), most)::BIGINT AS low, least(ceil(fair + slack), most)::BIGINT AS high FROM {name}0),
+{name}2 AS (SELECT *, seats - sum(low) {over} AS remaining FROM {name}1),
+{name}3 AS (SELECT *, unnest(range(low + 1, high + 1)) AS s FROM {name}2),
+{name}4 AS (SELECT {key}, remaining, row_number() OVER (PARTITION BY {group} ORDER BY {votes} / (2 * s - 1)::DOUBLE DESC, {key}) AS rk FROM {name}3),
+{name}5 AS (SELECT {key}, count(*) AS won FROM {name}4 WHERE rk <= remaining GROUP BY ALL),
+{name} AS (SELECT p.*, (low + coalesce(won, 0))::BIGINT AS quota FROM {name}2 p LEFT JOIN {name}5 w ON {same})"""
+
+    def seeded(what: str, key: str) -> str:
+        return f"md5(concat('7|{what}|', {key}))"
+
+    name = "coalesce(doc_id::VARCHAR, 'null')"
+    return f"""
+WITH d0 AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORDS}'))::BIGINT AS size FROM documents),
+s0 AS (SELECT source, sum(size)::BIGINT AS source_size, count(*) AS n_rows FROM d0 GROUP BY 1),
+s1 AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS place FROM s0),
+s2 AS (SELECT *, [5.0::DOUBLE, 2.0::DOUBLE, 1.0::DOUBLE][place % 3 + 1] AS weight FROM s1),
+s3 AS (SELECT *, row_number() OVER o AS rn, (1.5::DOUBLE * sum(source_size) OVER () - 2 * coalesce(sum(source_size) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+  / (sum(weight) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS level FROM s2 WINDOW o AS (ORDER BY source_size / weight, place)),
+s4 AS (SELECT *, (SELECT arg_min(level, rn) FROM s3 WHERE level * weight <= 2 * source_size) AS lv FROM s3),
+s5 AS (SELECT source, source_size, n_rows, coalesce(least(2 * source_size, lv * weight), 2 * source_size)::DOUBLE AS target FROM s4),
+s6 AS (SELECT *, CASE WHEN target >= 4096 THEN 64 ELSE 1 END AS unit FROM s5),
+s7 AS (SELECT *, round(sum(target) OVER (PARTITION BY unit) / unit)::BIGINT AS seats FROM s6),
+{quotas('sq', 's7', 'unit', 'source', 'target', '1::BIGINT << 60')},
+src AS (SELECT s6.*, coalesce(quota, 0) AS seats, greatest(1, ceil(s6.source_size / 1000000), ceil(s6.n_rows / 20000))::BIGINT AS n_shards
+  FROM s6 LEFT JOIN sq ON s6.source IS NOT DISTINCT FROM sq.source),
+d AS (SELECT d0.*, source_size, target, unit, seats, coalesce(concat('s', d0.source), 'n') AS sk,
+  ('0x' || substr({seeded('shard', name)}, 1, 8))::BIGINT % n_shards AS shard FROM d0 JOIN src ON d0.source IS NOT DISTINCT FROM src.source),
+h0 AS (SELECT sk, unit, seats, shard, sum(size)::BIGINT AS shard_size FROM d GROUP BY ALL),
+h1 AS (SELECT *, greatest(1, round(shard_size / unit))::BIGINT AS n_blocks FROM h0 WHERE shard_size > 0),
+{quotas('hq', 'h1', 'sk', 'sk, shard', 'shard_size', '2 * n_blocks')},
+b0 AS (SELECT sk, shard, shard_size, n_blocks, quota // n_blocks AS passes, quota % n_blocks AS extra, unnest(range(n_blocks)) AS block FROM hq),
+b1 AS (SELECT *, floor(block * shard_size / n_blocks)::BIGINT AS a, floor((block + 1) * shard_size / n_blocks)::BIGINT AS e,
+  row_number() OVER (PARTITION BY sk, shard ORDER BY {seeded('block', "concat_ws('|', sk, shard, block)")}, block) <= extra AS chosen FROM b0),
+p AS (SELECT *, sum(size) OVER (PARTITION BY sk, shard ORDER BY {seeded('order', name)}, doc_id ROWS UNBOUNDED PRECEDING) - size AS start FROM d),
+x AS (SELECT doc_id, sk, shard, sum(least(e, start + size) - greatest(a, start)) AS more FROM p JOIN b1 USING (sk, shard)
+  WHERE chosen AND a < start + size AND e > start GROUP BY ALL)
+SELECT p.doc_id, p.size, p.source_size, p.target, p.source,
+  CASE WHEN p.size > 0 THEN coalesce(passes, 0) * p.size + coalesce(more, 0) ELSE 0 END::BIGINT AS taken
+FROM p LEFT JOIN (SELECT DISTINCT sk, shard, passes FROM b1) USING (sk, shard) LEFT JOIN x USING (doc_id, sk, shard)"""

@@ -36,7 +36,7 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.ExactDedup(docs).report().withColumnRenamed("id", "doc_id")
 
 
-@query("op2_mixing")
+@query("op2_mixing", mixing.oracle())
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     sizes = cut_lineage(mixing.sized(docs, "doc_id", "source", "text").drop("row"), "sizes")
