@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-# Ranks of a lineage string, in order, with their prefixes.
+# Ranks of a lineage string, in order.
 RANKS = ("domain", "phylum", "class", "order", "family", "genus", "species")
-RANK_PREFIXES = ("d__", "p__", "c__", "o__", "f__", "g__", "s__")
 
 
 def _c(col) -> Column:
@@ -99,11 +98,6 @@ def cast_schema(df: DataFrame, schema: T.StructType | Mapping[str, str]) -> Data
     return df.withColumns({k: F.col(f"`{k}`").try_cast(v) for k, v in schema.items()})
 
 
-def quality_scores(qual, offset: int = 33) -> Column:
-    """ASCII quality text to an array of integer scores."""
-    return F.transform(F.split(_c(qual), ""), lambda ch: F.ascii(ch) - offset)
-
-
 def kmers(text, k: int) -> Column:
     """All overlapping substrings of length ``k``; an empty array for short text."""
     t = _c(text)
@@ -116,7 +110,3 @@ def kmers(text, k: int) -> Column:
 def hash32(*parts, sep: str = "|") -> Column:
     """Uniform integer in [0, 2^32): the first eight hex digits of an md5."""
     return F.conv(F.substring(F.md5(F.concat_ws(sep, *parts)), 1, 8), 16, 10).cast("bigint")
-
-
-def levels_of(values: Sequence[str]) -> Column:
-    return F.array(*[F.lit(v) for v in values])

@@ -14,16 +14,6 @@ from fenloom.operators.ordering import average_rank, exact_quantiles, running_to
 from fenloom.session import cut_lineage
 from fenloom.operators.tidy import grep_filter, keep_max, mask
 
-# Regular expressions of the function classes reported on.
-FUNCTION_CLASSES = {
-    "chitinase_protease": "chit|aminopeptidase",
-    "plant_hormone": (
-        "aminocyclopropane|pectinesterase | zeatin | isopentenyl|dihydrozeatin|indol|tryptophan|"
-        "phenylpyruvate|tyramine oxidase"
-    ),
-    "carbon_substrate": "K05349|K00677|K05350|K02535|K16363|K02851|K24300|K24301|K00790",
-}
-
 
 # ---- preparation -------------------------------------------------------------------------
 

@@ -63,7 +63,9 @@ def fit_glm(df: DataFrame, formula: str, family: str, link: str, weights: str |
     est = [float(v) for v in model.coefficients] + [float(model.intercept)]
     try:
         se = [float(v) for v in model.summary.coefficientStandardErrors]
-    except Exception:  # the solver reports none for a rank-deficient design
+    except Exception as e:
+        if "No Std. Error" not in str(e):  # what the solver says of a rank-deficient design
+            raise
         se = [None] * len(est)
     return df.sparkSession.createDataFrame(
         list(zip([*names, "Intercept"], est, se)), "parameter string, estimate double, se double")
