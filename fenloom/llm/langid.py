@@ -105,47 +105,57 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=-1, keepdims=True)
 
 
-def train(x: np.ndarray, y: np.ndarray, labels: list[str], dim: int = 16, epochs: int = 40, batch: int = 32,
-          rate: float = 0.5, keep: float = 0.999, seed: int = 11) -> Model:
-    """``x``: rows of bucket counts, in the order of their ids; ``y``: label numbers."""
+def train(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, labels: list[str], buckets: int, dim: int = 16,
+          epochs: int = 40, batch: int = 32, rate: float = 0.5, keep: float = 0.999, seed: int = 11) -> Model:
+    """``rows``: buckets and counts of each text, in the order of their ids; ``y``: label numbers.
+
+    Only a batch is ever laid out over all buckets.
+    """
     rng = np.random.default_rng(seed)
-    x = x / np.maximum(x.sum(axis=1, keepdims=True), 1)
-    order = rng.permutation(len(x))
-    cal, fit = order[: len(x) // 4], order[len(x) // 4:]
-    emb = rng.normal(0, 0.01, (x.shape[1], dim)).astype(np.float32)
+    rows = [(at, (n / n.sum()).astype(np.float32)) for at, n in rows]
+    order = rng.permutation(len(rows))
+    cal, fit = order[: len(rows) // 4], order[len(rows) // 4:]
+    emb = rng.normal(0, 0.01, (buckets, dim)).astype(np.float32)
     out = rng.normal(0, 1, (dim, len(labels))).astype(np.float32)
     bias = np.zeros(len(labels), np.float32)
-    # every subword's mean is tiny, so its step is scaled up by how often it is met
-    scale = (1 / np.maximum(x[fit].mean(axis=0), 1e-4))[:, None].astype(np.float32)
+    # every subword's mean is tiny, so its step is scaled up by how rarely it is met
+    met = np.zeros(buckets)
+    for i in fit:
+        met[rows[i][0]] += rows[i][1]
+    scale = np.minimum(1 / np.maximum(met / len(fit), 1e-4), 200)[:, None].astype(np.float32)
     for epoch in range(epochs):
         step = rate * (1 - epoch / epochs)
+        rng.shuffle(fit)
         for at in range(0, len(fit), batch):
-            rows = rng.choice(fit, batch) if at == 0 else fit[at: at + batch]
-            mean = x[rows] @ emb
+            some = fit[at: at + batch]
+            x = np.zeros((len(some), buckets), np.float32)
+            for k, i in enumerate(some):
+                x[k, rows[i][0]] = rows[i][1]
+            mean = x @ emb
             err = _softmax(mean @ out + bias)
-            err[np.arange(len(rows)), y[rows]] -= 1
-            err /= len(rows)
-            grad = x[rows].T @ (err @ out.T)
+            err[np.arange(len(some)), y[some]] -= 1
+            err /= len(some)
+            grad = x.T @ (err @ out.T)
             out -= step * (mean.T @ err)
             bias -= step * err.sum(axis=0)
-            emb -= step * np.minimum(scale, 200) * grad
+            emb -= step * scale * grad
     table = (emb @ out).astype(np.float32)
-    z = x @ table
     probe = cal if len(cal) else fit
+    z = np.stack([rows[i][1] @ table[rows[i][0]] for i in probe]) + bias
     grid = np.geomspace(1, 20, 40)
-    loss = [-np.log(np.maximum(_softmax((z[probe] + bias) / t)[np.arange(len(probe)), y[probe]], 1e-12)).mean() for t in grid]
+    loss = [-np.log(np.maximum(_softmax(z / t)[np.arange(len(probe)), y[probe]], 1e-12)).mean() for t in grid]
     temperature = float(grid[int(np.argmin(loss))])
-    best = np.sort(_softmax((z[probe] + bias) / temperature).max(axis=1))
+    best = np.sort(_softmax(z / temperature).max(axis=1))
     threshold = min(0.5, float(best[int((1 - keep) * len(best))]))
     return Model(labels, table, bias.astype(np.float64), temperature, threshold)
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", per_label: int = 600,
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", per_label: int = 400,
         buckets: int = 1 << 13, mod: int = 5, remainder: int = 0) -> Model:
     """Learns from ``per_label`` rows of each label among those that are not held out."""
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(label_col).cast("string").alias("label"))
-    rows = rows.filter("id IS NOT NULL AND label IS NOT NULL").filter(~held_out(F.col("id"), mod, remainder))
-    sample = bounded_sample(rows, F.col("id"), per_label, "label")
+    known = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(label_col).cast("string").alias("label"))
+    known = known.filter("id IS NOT NULL AND label IS NOT NULL").filter(~held_out(F.col("id"), mod, remainder))
+    sample = bounded_sample(known, F.col("id"), per_label, "label")
 
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -160,15 +170,17 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_c
                 names=["id", "label", "at", "n"])
 
     got = sample.select("id", "text", "label").mapInArrow(
-        sparse, f"id {dict(rows.dtypes)['id']}, label string, at array<int>, n array<float>").toPandas()
-    got = got[got["at"].map(len) > 0].sort_values(["id", "label"], kind="stable")
-    labels = sorted(got["label"].unique())
-    x = np.zeros((len(got), buckets), np.float32)
-    for i, (at, n) in enumerate(zip(got["at"], got["n"])):
-        x[i, at] = n
+        sparse, f"id {dict(known.dtypes)['id']}, label string, at array<int>, n array<float>").toArrow()
+    got = got.sort_by([("id", "ascending"), ("label", "ascending")]).combine_chunks()
+    rows, names = [], []
+    for at, n, label in zip(got["at"].combine_chunks(), got["n"].combine_chunks(), got["label"].to_pylist()):
+        if len(at):
+            rows.append((at.values.to_numpy(), n.values.to_numpy()))
+            names.append(label)
+    labels = sorted(set(names))
     if not labels:
         return Model([], np.zeros((buckets, 0), np.float32), np.zeros(0), 1.0, 1.0)
-    return train(x, got["label"].map(labels.index).to_numpy(), labels)
+    return train(rows, np.array([labels.index(x) for x in names]), labels, buckets)
 
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
