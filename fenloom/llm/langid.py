@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, functions as F
 from fenloom.llm.common import bounded_sample, held_out, once, packed, small_batches
 
 ORDERS = (1, 2, 3, 4)
-PIECE = 1 << 20
+PIECE = 1 << 18
 UND = "und"
 
 
@@ -39,7 +39,7 @@ def letters() -> np.ndarray:
 
 
 def subwords(text: str, buckets: int) -> Iterator[np.ndarray]:
-    """Bucket numbers of all subwords of a whole text, a piece of about a million characters at a time."""
+    """Bucket numbers of all subwords of a whole text, a piece of about 260,000 characters at a time."""
     codes = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
     for at in range(0, len(codes), PIECE):
         piece = codes[max(0, at - 1): at + PIECE]

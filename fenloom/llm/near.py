@@ -205,7 +205,7 @@ def multiset(h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return h[at], doc[at], np.diff(np.append(at, len(h)))
 
 
-def _signer(k: int, rows: int, size: int, seed: int, per_call: int = 1 << 22):
+def _signer(k: int, rows: int, size: int, seed: int, per_call: int = 1 << 20):
     def part(data: np.ndarray, starts: np.ndarray) -> list[pa.Array]:
         words, starts = word_hashes(data, starts)
         n_docs = len(starts) - 1

@@ -91,8 +91,8 @@ def statistics(text: Column) -> Column:
         starts = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset: texts.offset + len(texts) + 1].astype(np.int64)
         data = np.frombuffer(texts.buffers()[2], np.uint8) if texts.buffers()[2] else np.zeros(0, np.uint8)
         parts, lo = [], 0
-        while lo < len(texts):  # a few MB at a time
-            hi = max(lo + 1, int(np.searchsorted(starts, starts[lo] + (1 << 22), "right")) - 1)
+        while lo < len(texts):  # about a MB at a time
+            hi = max(lo + 1, int(np.searchsorted(starts, starts[lo] + (1 << 20), "right")) - 1)
             parts.append(measure(data[starts[lo]: starts[hi]], starts[lo: hi + 1] - starts[lo]))
             lo = hi
         return pa.StructArray.from_arrays(
