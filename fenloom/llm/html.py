@@ -49,6 +49,12 @@ TOKEN = re.compile(r"<!--.*?(?:-->|$)|<![^>]*(?:>|$)|<\?[^>]*(?:>|$)|</([a-zA-Z]
                    r"|<([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?:>|$)", re.S)
 ATTR = re.compile(r"(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
 LINE = re.compile(r"\s+")
+#: Elements that stand by their tag even when they have a name.
+PLAIN = set("h1 h2 h3 h4 h5 h6 p li dl dt dd table tr td th caption figure figcaption blockquote pre".split())
+#: Parts of lists and tables: there are many of them, and what they hold is seen at their text and at the whole.
+PARTS = set("li dt dd tr td th caption figcaption".split())
+#: Share of a tag's nodes that may be of the label it was not seen with.
+RARE = 0.02
 
 
 @dataclass
@@ -168,8 +174,9 @@ def features(nodes: list[Node]) -> list[list[str]]:
     out = []
     for i, n in enumerate(nodes):
         share = linked[i] / size[i] if size[i] else 0
-        f = [f"tag={n.tag}"] + [f"word={w}" for w in n.words]
-        f.append("links=" + ("none" if not linked[i] else "some" if share < 0.5 else "most"))
+        f = [f"word={w}" for w in n.words]
+        if n.tag not in PARTS:
+            f += [f"tag={n.tag}", "links=" + ("none" if not linked[i] else "some" if share < 0.5 else "most")]
         if n.text is not None:
             f.append(f"length={min(6, int(math.log2(1 + len(n.text) / 12)))}")
             f.append("symbol" if re.match(r"[©®]", n.text) else "plain")
@@ -195,6 +202,9 @@ class Model:
                     start[y] += 1
                 else:
                     joint[self.kind(n)][labels[n.parent], y] += 1
+        for name, v in seen.items():
+            if name.startswith("tag="):  # a tag seen with one label only must not decide alone
+                v += RARE * v.sum() * n_label / n_label.sum()
         self.own = {k: np.log(v / (n_label + 2 * smooth)) for k, v in seen.items()}
         self.pair = {k: np.log(v / v.sum(axis=1, keepdims=True)) for k, v in joint.items()}
         self.other = np.log(sum(np.exp(v) for v in self.pair.values()) / max(1, len(self.pair)))
@@ -202,7 +212,7 @@ class Model:
 
     @staticmethod
     def kind(n: Node) -> str:
-        return "text" if n.text is not None else "named" if n.words else n.tag
+        return "text" if n.text is not None else "named" if n.words and n.tag not in PLAIN else n.tag
 
     def marginals(self, nodes: list[Node]) -> np.ndarray:
         """Probability of content for each node, by messages up and down the tree."""
@@ -260,6 +270,9 @@ HEADER_NAMES = ["header", "site header", "masthead", "logo", "top bar", "page he
 FOOTER_NAMES = ["footer", "site footer", "copyright", "legal", "bottom", "colophon"]
 COMMENT_NAMES = ["comments", "comment list", "reader comments", "discussion", "replies", "comment", "responses"]
 SHARE_NAMES = ["share", "social", "share buttons", "social links", "byline share"]
+#: Names of single parts, in articles and beside them.
+PART_NAMES = ["title", "heading", "section title", "lead", "intro", "caption", "figure", "block", "text", "note", "list"]
+HEADINGS = ("h2", "h2", "h3", "h3", "h4", "h5", "h6")
 SYLLABLES = "ka to mi ren sol ta vek lu pra ni do shi mar el un be gor ti la zem".split()
 
 
@@ -286,9 +299,15 @@ def _layout(r: random.Random) -> tuple[str, set[str]]:
         return f'<{tag} {r.choice(["class", "class", "id"])}="{name}">{inner}</{tag}>'
 
     def items(n: int, of) -> str:
-        return "<ul>" + "".join(f"<li>{of()}</li>" for _ in range(n)) + "</ul>"
+        tag = r.choice(["ul", "ul", "ul", "ol"])
+        return f"<{tag}>" + "".join(f"<li>{of()}</li>" for _ in range(n)) + f"</{tag}>"
 
-    def prose(n: int) -> str:
+    def heading(level: str, inner: str) -> str:
+        if r.random() < 0.25:
+            return named(PART_NAMES + [word()], inner, (level,))
+        return f"<{level}>{inner}</{level}>"
+
+    def prose(n: int, depth: int = 0) -> str:
         out = []
         for _ in range(n):
             long = r.choice([1, 2, 4, 12, 30, 60, 120])
@@ -298,16 +317,30 @@ def _layout(r: random.Random) -> tuple[str, set[str]]:
             if r.random() < 0.2:
                 body = f"<b>{body}</b>" if r.random() < 0.5 else f"<b>{body}<br>"
             kind = r.random()
-            if kind < 0.75:
+            if kind < 0.56:
                 out.append(f"<p>{body}" + ("</p>" if r.random() < 0.85 else ""))
-            elif kind < 0.83:
-                out.append("<ul>" + "".join(f"<li>{words(r.randint(1, 12), True)}</li>" for _ in range(r.randint(1, 5))) + "</ul>")
-            elif kind < 0.88:
+            elif kind < 0.60:
+                out.append(named(PART_NAMES + [word()], body, ("p", "p", "div")))
+            elif kind < 0.69:
+                out.append(items(r.randint(1, 5), lambda: words(r.randint(1, 12), True) + (
+                    items(2, lambda: words(r.randint(1, 4), True)) if r.random() < 0.05 else "")))
+            elif kind < 0.73:
                 out.append(f"<blockquote><p>{body}</p></blockquote>")
-            elif kind < 0.93:
-                out.append(f"<h2>{words(3, True)}</h2>")
-            elif kind < 0.96:
-                out.append("<table>" + "".join(f"<tr><td>{words(1, True)}</td><td>{words(2, True)}</td></tr>" for _ in range(3)) + "</table>")
+            elif kind < 0.85:
+                out.append(heading(r.choice(HEADINGS), words(r.randint(1, 8), True)))
+            elif kind < 0.88:
+                cell = r.choice(["td", "td", "th"])
+                rows = "".join(f"<tr><{cell}>{words(1, True)}</{cell}><td>{words(2, True)}</td></tr>" for _ in range(3))
+                out.append("<table>" + r.choice(["", "", f"<caption>{words(3, True)}</caption>"]) + rows + "</table>")
+            elif kind < 0.905:
+                out.append("<dl>" + "".join(f"<dt>{words(r.randint(1, 3), True)}</dt><dd>{words(r.randint(1, 15), True)}</dd>"
+                                            for _ in range(r.randint(1, 4))) + "</dl>")
+            elif kind < 0.935:
+                inner = f"<img src=x><figcaption>{words(r.randint(2, 12), True)}</figcaption>"
+                out.append(f"<figure>{inner}</figure>" if r.random() < 0.7 else named(PART_NAMES + [word()], inner, ("figure",)))
+            elif kind < 0.96 and depth < 2:
+                inner = heading(r.choice(HEADINGS), words(3, True)) + prose(r.randint(1, 3), depth + 1)
+                out.append(f"<section>{inner}</section>" if r.random() < 0.7 else named(PART_NAMES + [word()], inner, ("section",)))
             else:
                 out.append(f"<pre>{words(8, True)}</pre>" if r.random() < 0.5 else f"<div>{body}</div>")
         return "".join(out)
@@ -320,7 +353,8 @@ def _layout(r: random.Random) -> tuple[str, set[str]]:
         parts.append(r.choice([f"<header><p>{words(4)}</p></header>", named(HEADER_NAMES, f"<p>{words(4)}</p>", ("div", "header"))]))
 
     def advert() -> str:
-        return named(AD_NAMES, r.choice([words(r.randint(3, 14)), f"<p>{words(r.randint(3, 20))}</p>", link(4)]), ("div", "div", "aside", "section"))
+        return named(AD_NAMES, r.choice([words(r.randint(3, 14)), f"<p>{words(r.randint(3, 20))}</p>", link(4),
+                                        f"<figure><img src=x><figcaption>{words(r.randint(2, 8))}</figcaption></figure>"]), ("div", "div", "aside", "section"))
 
     def notice() -> str:
         return named(NOTICE_NAMES, r.choice([words(12), f"<p>{words(r.randint(6, 30))}</p>" + "<button>ok</button>", f"<p>{words(8)} {link(2)}</p>"]),
@@ -330,18 +364,22 @@ def _layout(r: random.Random) -> tuple[str, set[str]]:
         return f"<form><p>{words(3)}</p><label>{words(2)}</label><input name=q><button>{word()}</button></form>"
 
     def comments() -> str:
-        one = lambda: r.choice([f"<p>{words(r.randint(2, 40))}</p>", f'<div class="comment"><p>{words(2)}</p><p>{words(r.randint(4, 50))}</p></div>'])
-        return named(COMMENT_NAMES, f"<h3>{words(2)}</h3>" + "".join(one() for _ in range(r.randint(1, 6))) + (form() if r.random() < 0.4 else ""),
+        one = lambda: r.choice([f"<p>{words(r.randint(2, 40))}</p>", f"<blockquote><p>{words(r.randint(2, 20))}</p></blockquote>", f'<div class="comment"><p>{words(2)}</p><p>{words(r.randint(4, 50))}</p></div>'])
+        return named(COMMENT_NAMES, heading(r.choice(HEADINGS), words(2)) + "".join(one() for _ in range(r.randint(1, 6))) + (form() if r.random() < 0.4 else ""),
                      ("div", "div", "section", "ol", "ul"))
 
     def side() -> str:
-        inner = f"<h3>{words(2)}</h3>" + r.choice([items(r.randint(2, 6), link), f"<p>{words(r.randint(4, 30))}</p>", items(3, lambda: words(5))])
+        inner = heading(r.choice(HEADINGS), words(2)) + r.choice([items(r.randint(2, 6), link), f"<p>{words(r.randint(4, 30))}</p>", items(3, lambda: words(5)),
+                                                                   "<table>" + "".join(f"<tr><td>{words(1)}</td><td>{words(2)}</td></tr>" for _ in range(r.randint(2, 7))) + "</table>",
+                                                                   "<dl>" + "".join(f"<dt>{words(1)}</dt><dd>{words(3)}</dd>" for _ in range(r.randint(1, 4))) + "</dl>"])
         return r.choice([f"<aside>{inner}</aside>", named(SIDE_NAMES, inner, ("div", "aside", "section"))])
 
     for make, chance in ((advert, 0.6), (notice, 0.3), (side, 0.2), (form, 0.1)):
         if r.random() < chance:
             parts.append(make())
     article = f"<h1>{words(r.randint(2, 9), True)}</h1>" if r.random() < 0.85 else ""
+    if article and r.random() < 0.15:
+        article = f"<header>{article}" + (f"<p>{words(r.randint(3, 20), True)}</p>" if r.random() < 0.5 else "") + "</header>"
     article += prose(r.randint(1, 14))
     for make, chance in ((advert, 0.25), (side, 0.1), (notice, 0.1), (lambda: named(SHARE_NAMES, items(3, lambda: link(1))), 0.2)):
         if r.random() < chance:

@@ -50,6 +50,26 @@ def test_pages(model, page, want):
     assert model.extract(page) == want
 
 
+@pytest.mark.parametrize("page, want", [
+    ("<article><h3>Title</h3><p>Some text of the story.</p></article>", "Title\nSome text of the story."),
+    ("<article><h1>T</h1><ol><li>one</li><li>two</li></ol><p>end of it</p></article>", "T\none\ntwo\nend of it"),
+    ("<article><ol><li>one</li></ol></article>", "one"),
+    ("<main><h1>A</h1><h3 class='zz'>B</h3><p>c d e</p><dl><dt>f</dt><dd>g</dd></dl><figure><img src=x><figcaption>h</figcaption></figure>"
+     "<section><h5>i</h5><p>j</p></section><h6>k</h6></main><div class=comments><h3>Replies</h3><ol><li>no</li></ol></div>",
+     "A\nB\nc d e\nf\ng\nh\ni\nj\nk"),
+    ("<article><header><h1>Head</h1><p>deck line</p></header><p>body</p></article><footer><p>foot</p></footer>", "Head\ndeck line\nbody"),
+    ("<nav><ul><li><a href=a>Home</a></li></ul></nav><article><h3>Title</h3><p>Body here.</p><h4>Sub</h4><ol><li>a</li><li>b</li></ol></article>"
+     "<aside><h3>Related</h3><ul><li><a href=b>x y</a></li></ul></aside><footer>&copy; me</footer>", "Title\nBody here.\nSub\na\nb"),
+])
+def test_every_content_tag(model, page, want):
+    assert model.extract(page) == want
+
+
+def test_no_tag_decides_alone(model):
+    odds = {k: v[1] - v[0] for k, v in model.own.items() if k.startswith("tag=")}
+    assert all(abs(odds[f"tag={t}"]) < 5 for t in "h2 h3 h4 h5 h6 ol ul dl figure section table nav footer aside pre".split()), odds
+
+
 def test_deep_and_long(model):
     assert model.extract("<article>" + "<div>" * 2000 + "deep" + "</div>" * 2000 + "</article>") == "deep"
     assert len(model.extract("<article><p>" + "word " * 200_000 + "</p></article>")) == 999_999
