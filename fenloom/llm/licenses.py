@@ -2,10 +2,12 @@
 
 Every pair of adjacent words of every document is hashed and joined to its positions in a fixed
 table of templates; the words themselves are compared too. A hit votes for the diagonal ``word
-position - template position``. Votes are summed per document, template and diagonal. A base
-phrase stands exactly where its diagonal has all its votes. For other templates neighbouring
-diagonals (up to ``GAP`` words apart, so that words may be missing or added) are merged, and a
-merged span counts if it holds ``COVER`` of the template's pairs and is not much longer than it.
+position - template position``. Votes are kept per document, template and diagonal. A template
+stands exactly where one diagonal has all its votes; base phrases count nowhere else. For other
+templates the diagonals left over are joined into runs, so that words may be missing or added:
+neighbours are up to ``GAP`` words apart, and a run is no wider than makes a span of ``LONGER`` times
+the template and ``GAP`` words. A run counts if ``COVER`` of the template's pairs stand in it in
+their order, each counted once. Runs that lie in another run are not looked at.
 
 Null and empty texts have no words, count 0, null places, empty labels and score 0. Rows
 repeated with one id are scanned one by one.
@@ -70,23 +72,49 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     hits = grams.join(t, (F.col("g") == t["h"]) & (F.col("a") == t["w1"]) & (F.col("b") == t["w2"]), "left")
     # documents without a hit come through as their own group, merged map side
     votes = hits.groupBy("rid", "id", "n_words", "template", "label", "base", "length", (F.col("i") - F.col("j")).alias("diagonal")).agg(
-        F.count("*").alias("votes"), F.min("i").alias("a"), F.max("i").alias("b"))
+        F.bit_or(F.expr("shiftleft(1L, j)")).alias("bits"))
     return _summed(_merged(votes))
 
 
 def _merged(votes: DataFrame) -> DataFrame:
     """Verified spans (rows of documents without any keep a null template)."""
     along = Window.partitionBy("rid", "template").orderBy("diagonal")
-    full = F.col("length") - 1
-    votes = votes.withColumn("apart", F.when(F.col("base"), 1).otherwise(
-        (F.col("diagonal") - F.lag("diagonal").over(along) > GAP).cast("int")))
-    votes = votes.withColumn("span", F.sum(F.coalesce("apart", F.lit(1))).over(along))
-    spans = votes.groupBy("rid", "id", "n_words", "template", "label", "base", "length", "span").agg(
-        F.sum("votes").alias("votes"), F.min("a").alias("first"), (F.max("b") + 1).alias("last"))
-    cover = F.least(F.col("votes") / full, F.lit(1.0))
-    good = F.when(F.col("base"), F.col("votes") == full).otherwise(
-        (cover >= COVER) & (F.col("last") - F.col("first") + 1 <= LONGER * F.col("length") + GAP))
-    return spans.withColumn("cover", cover).withColumn("good", F.coalesce(good, F.lit(False)))
+    width = ((LONGER - 1) * F.col("length") + GAP).cast("int")
+    widest = int((LONGER - 1) * max(len(text.split(" ")) for text, _ in FURTHER) + GAP)
+    # a word and a diagonal give the template's place, so a bit for each place holds all the votes
+    places = F.filter(F.sequence(F.lit(0), F.col("length") - 2), lambda j: F.getbit("bits", j) == 1)
+    votes = votes.withColumn("js", places)
+    full = F.size("js") == F.col("length") - 1
+    rest = F.when(~F.col("base") & ~full, F.struct("diagonal", "js"))
+
+    def neighbours(run: Column) -> Column:
+        """Up to the first gap."""
+        near = F.filter(run, lambda x: x["diagonal"] - F.col("diagonal") <= width)
+        return F.aggregate(near, F.slice(near, 1, 1), lambda kept, x: F.when(
+            x["diagonal"] - F.element_at(kept, -1)["diagonal"] <= GAP, F.array_union(kept, F.array(x))).otherwise(kept))
+
+    rows = votes.withColumn("full", F.coalesce(full, F.lit(False))).withColumn(
+        "run", F.when(rest.isNotNull(), F.collect_list(rest).over(along.rangeBetween(0, widest))))
+    rows = rows.withColumn("run", F.when(F.col("run").isNotNull(), neighbours(F.col("run"))))
+    rows = rows.withColumn("end", F.element_at("run", -1)["diagonal"])
+    before = F.last("end", ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("inside", F.coalesce(F.col("end") == before, F.lit(False)))
+    hits = F.when(F.col("full"), F.array(F.struct("diagonal", "js"))).when(F.col("run").isNotNull() & ~F.col("inside"), F.col("run"))
+    rows = rows.withColumn("hits", F.array_sort(F.flatten(F.transform(hits, lambda x: F.transform(
+        x["js"], lambda j: F.struct((x["diagonal"] + j).alias("i"), j.alias("j")))))))
+    pairs = F.col("length") - 1
+    enough = F.size(F.array_distinct(F.col("hits")["j"])) >= COVER * pairs
+    cover = F.when(F.col("full"), F.lit(1.0)).when(enough, _in_order(F.col("hits"), pairs) / pairs)
+    return rows.select(
+        "rid", "id", "n_words", "label", "base", F.array_min(F.col("hits")["i"]).alias("first"),
+        (F.array_max(F.col("hits")["i"]) + 1).alias("last"), cover.alias("cover")).withColumn(
+            "good", F.coalesce(F.col("cover") >= COVER, F.lit(False)))
+
+
+def _in_order(hits: Column, pairs: Column) -> Column:
+    """The largest number of hits, sorted by word, whose template positions rise too."""
+    return F.aggregate(hits, F.array_repeat(F.lit(0), pairs), lambda best, hit: F.transform(best, lambda n, j: F.when(
+        j == hit["j"], F.greatest(n, 1 + F.coalesce(F.array_max(F.slice(best, F.lit(1), hit["j"])), F.lit(0)))).otherwise(n)), F.array_max)
 
 
 def _summed(spans: DataFrame) -> DataFrame:
