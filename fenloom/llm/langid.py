@@ -8,9 +8,11 @@ As the model is linear in the mean, embeddings and output weights are multiplied
 of ``buckets x labels`` before it is sent to the executors.
 
 A quarter of the sample is kept from training to calibrate: it gives the temperature (1 or more),
-and a text is rejected when its calibrated score is below what ``keep`` of those rows reach (0.5
-at most). A text of subwords that training did not meet has a mean near zero, so its score is
-near the labels' shares.
+and, with the subwords of its rows exchanged for others at random, ``foreign`` rows of no known
+language. A text is rejected when its calibrated score is below the limit that errs least, adding
+the share of calibration rows below it and the share of foreign rows that reach it (0.5 at most);
+single junk or mislabelled rows move it by no more than their share. A text of subwords that
+training did not meet has a mean near zero, so its score is near the labels' shares.
 
 Null text and text without a letter is ``und`` with score 0 and rejected; where no label can be
 learned every text is. Rows with a null label or id are scored but not learned from.
@@ -106,7 +108,7 @@ def _softmax(z: np.ndarray) -> np.ndarray:
 
 
 def train(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, labels: list[str], buckets: int, dim: int = 16,
-          epochs: int = 40, batch: int = 32, rate: float = 0.5, keep: float = 0.999, seed: int = 11) -> Model:
+          epochs: int = 40, batch: int = 32, rate: float = 0.5, foreign: int = 4000, seed: int = 11) -> Model:
     """``rows``: buckets and counts of each text, in the order of their ids; ``y``: label numbers.
 
     Only a batch is ever laid out over all buckets.
@@ -145,8 +147,15 @@ def train(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, labels: list
     grid = np.geomspace(1, 20, 40)
     loss = [-np.log(np.maximum(_softmax(z / t)[np.arange(len(probe)), y[probe]], 1e-12)).mean() for t in grid]
     temperature = float(grid[int(np.argmin(loss))])
-    best = np.sort(_softmax(z / temperature).max(axis=1))
-    threshold = min(0.5, float(best[int((1 - keep) * len(best))]))
+    known = np.sort(_softmax(z / temperature).max(axis=1))
+    strange = []
+    for k in range(max(foreign, len(probe))):
+        at, n = rows[probe[k % len(probe)]]
+        strange.append(n @ table[rng.permutation(buckets)[at]])
+    strange = np.sort(_softmax((np.stack(strange) + bias) / temperature).max(axis=1))
+    limits = np.unique(np.concatenate([known, strange]))
+    errors = np.searchsorted(known, limits) / len(known) + 1 - np.searchsorted(strange, limits) / len(strange)
+    threshold = min(0.5, float(limits[int(np.argmin(errors))]))
     return Model(labels, table, bias.astype(np.float64), temperature, threshold)
 
 

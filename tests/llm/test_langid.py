@@ -25,6 +25,16 @@ def test_foreign_script_is_rejected(spark):
     assert got[1]["score"] < 0.9 and [got[i]["lang_pred"] for i in (2, 3, 4)] == ["und"] * 3
 
 
+def test_a_junk_row_does_not_lower_the_limit():
+    r = np.random.default_rng(3)
+    y = np.arange(400) % 4
+    rows = [(np.arange(50) + 50 * k, r.integers(1, 9, 50).astype(np.float32)) for k in y]
+    junk = np.random.default_rng(11).permutation(400)[0]  # among the rows kept to calibrate
+    rows[junk] = (np.arange(500, 550), np.ones(50, np.float32))
+    model = langid.train(rows, y, list("abcd"), 1024)
+    assert model.threshold == 0.5
+
+
 def test_pieces_of_a_long_text_add_up(monkeypatch):
     text = "alpha beta, gamma " * 300
     whole = langid.counts_of(text, 1024)
