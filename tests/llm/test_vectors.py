@@ -84,3 +84,17 @@ def test_recall_at_the_threshold():
     y = 0.98 * x + np.sqrt(1 - 0.98**2) * z
     a, b = (vectors.bucket_codes(v, 6, 2, 3) for v in (x, y))
     assert ((a[:, :, :, None] == b[:, :, None, :]).any(axis=(1, 2, 3))).mean() > 0.999
+
+
+@pytest.mark.parametrize("functions, tables", [(3, 8), (4, 10)])
+def test_recall_at_the_threshold_of_large_labels(functions, tables):
+    assert _recall(functions, tables, 3000) > 0.9
+
+
+def _recall(functions, tables, n):
+    """Share of pairs at cosine 0.98 in 64 dimensions that share a bucket."""
+    rng = np.random.default_rng(0)
+    x, z = vectors.unit_rows(rng.normal(size=(n, 64))), rng.normal(size=(n, 64))
+    z = vectors.unit_rows(z - (z * x).sum(axis=1, keepdims=True) * x)
+    a, b = (vectors.bucket_codes(v, tables, functions, 3) for v in (x, 0.98 * x + np.sqrt(1 - 0.98**2) * z))
+    return (a[:, :, :, None] == b[:, :, None, :]).any(axis=(1, 2, 3)).mean()
