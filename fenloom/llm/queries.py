@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fenloom.llm import exact, html, langid, licenses, mixing, near, pieces, quality, tokenfiles, vectors
+from fenloom.llm import collocations, exact, html, langid, licenses, mixing, near, packing, pieces, quality, resampling, tokenfiles, vectors
 from fenloom.llm.common import held_out
 from fenloom.session import cut_lineage, scratch_path
 
@@ -100,3 +100,23 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = html.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return found.select("row.page_id", "row.url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+@query("op11_collocations", collocations.oracle())
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = collocations.collocations(table(spark, sf_dir, "documents").select("text", "lang"))
+    return collocations.top(kept).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+
+
+@query("op12_importance_resampling", resampling.oracle())
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, target = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark")
+    found = resampling.resample(docs, target, lo=1, hi=1, buckets=10_000, seed=2024, min_words=20, percent=10)
+    return found.select(F.col("id").alias("doc_id"), "n_features", "weight", "score", "rank")
+
+
+@query("op13_best_fit_packing")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    packed = packing.Packing(docs, public_tokenizers.path("word_bpe_49k.json"), size=2048, end=0)
+    return packed.placed().withColumnRenamed("id", "doc_id")

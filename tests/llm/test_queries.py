@@ -14,7 +14,8 @@ SF = "/root/testdata/sf0.001"
 def test_query(spark, name):
     got = QUERIES[name](spark, SF).toPandas()
     rows = {"op3_html_text": "pages", "op10_near_vectors": "embeddings"}.get(name, "documents")
-    assert len(got) == spark.read.parquet(f"{SF}/{rows}.parquet").count()
+    if name not in ("op11_collocations", "op13_best_fit_packing"):  # a row a phrase or a piece
+        assert len(got) == spark.read.parquet(f"{SF}/{rows}.parquet").count()
     if name in SQL:
         con = duckdb.connect()
         for t in TABLES:
