@@ -5,9 +5,10 @@ after it in its piece, padded where the piece ends; equal windows are counted, a
 over (lang, word 1, word 2, ...) sums them to all shorter prefixes. As every phrase is a prefix of
 the windows at its places, this gives the counts of all lengths, and of all words of a language.
 
-Windows also end between two words whose pair cannot be frequent: a first pass counts pairs by a
-hash, and a pair is at most as frequent as its hash. No phrase with ``least`` places holds such a
-pair, so the result does not depend on the hash or its size; what is left to shuffle does.
+Windows also end where a run of words cannot be frequent: passes before count runs of 2, 3, ... words
+by a hash, and a run is at most as frequent as its hash. No phrase with ``least`` places holds such
+a run, so the result does not depend on the hash or its size (2^``bits`` bytes a worker while it
+counts, bits when it is shared); what is left to shuffle does.
 
 Null text counts as empty and null languages as ``und``. Repeated rows count each time, whatever
 their ids. Without words the result is empty.
@@ -75,9 +76,8 @@ class Words:
         piece = np.searchsorted(ends, start)
         self.goes_on = np.append(piece[1:] == piece[:-1], False) if len(of) else np.zeros(0, bool)
 
-    def hashes(self, names: list[str], bits: int) -> np.ndarray:
-        """A hash of language, word and next word at each place."""
-        # the sum over bytes of byte times an odd power: the same in every unit, whatever its codes
+    def values(self, names: list[str]) -> np.ndarray:
+        """A number for each word: the same in every unit, whatever its codes."""
         runs = self.vocabulary.to_pylist()
         size = np.fromiter(map(len, runs), np.int64, len(runs))
         raw = np.frombuffer(b"".join(runs), np.uint8)
@@ -86,11 +86,31 @@ class Words:
         power = np.cumprod(np.full(int(size.max(initial=0)) + 1, 0x9E3779B97F4A7C15, np.uint64))
         word = np.add.reduceat((raw.astype(np.uint64) + np.uint64(1)) * power[place], first) if len(size) else np.zeros(0, np.uint64)
         lang = np.array([int.from_bytes(n.encode()[-8:], "little") for n in names] or [0], np.uint64)
-        own = word[self.codes]
-        both = own * np.uint64(0xC2B2AE3D27D4EB4F) + np.roll(own, -1) + lang[self.lang] * np.uint64(0x165667B19E3779F9)
-        both ^= both >> np.uint64(29)
-        both *= np.uint64(0xBF58476D1CE4E5B9)
-        return (both >> np.uint64(64 - bits)).astype(np.int64)
+        return word[self.codes] + lang[self.lang] * np.uint64(0x165667B19E3779F9)
+
+    def may_open(self, names: list[str], filters: list[np.ndarray], bits: int) -> tuple[list[np.ndarray], np.ndarray]:
+        """For 2, 3, ... words: where a run that all ``filters`` let through opens; and the hashes of the next longer runs,
+        -1 where a run is ruled out already."""
+        value = run = self.values(names)
+        able, out = self.goes_on, []
+        for n, passed in enumerate([*filters, None], 2):
+            run = run * np.uint64(0xC2B2AE3D27D4EB4F) + _ahead(value, n - 1)
+            if n > 2:
+                able = able & _ahead(able, 1)
+            h = run ^ (run >> np.uint64(29))
+            h *= np.uint64(0xBF58476D1CE4E5B9)
+            h = np.where(able, (h >> np.uint64(64 - bits)).astype(np.int64), -1)
+            if passed is not None:
+                able = able & ((passed[h >> 3] >> (7 - (h & 7)).astype(np.uint8)) & 1 == 1)
+                out.append(able)
+        return out, h
+
+
+def _ahead(x: np.ndarray, n: int) -> np.ndarray:
+    """``x`` as it is ``n`` places on, zero beyond the end."""
+    out = np.zeros_like(x)
+    out[:len(x) - n] = x[n:] if n < len(x) else 0
+    return out
 
 
 def _read(batch: pa.RecordBatch, longest: int, limit: int) -> Iterator[tuple[Words, list[str]]]:
@@ -100,17 +120,22 @@ def _read(batch: pa.RecordBatch, longest: int, limit: int) -> Iterator[tuple[Wor
         yield Words(texts, code[lo:hi], longest, limit), names
 
 
-# ---- pairs that cannot be frequent --------------------------------------------------------------
+# ---- runs that cannot be frequent --------------------------------------------------------------
+
 
+def frequent_runs(docs: DataFrame, filters: list[np.ndarray], least: int, bits: int, longest: int, limit: int) -> np.ndarray:
+    """A bit for each hash of a run, a word longer than the last of ``filters`` is for: whether ``least`` places share it.
 
-def frequent_pairs(docs: DataFrame, least: int, bits: int, longest: int, limit: int) -> np.ndarray:
-    """A bit for each hash of a pair: whether ``least`` places or more share it."""
+    Runs that hold one ruled out before are not counted.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(filters)  # 2^bits bits each
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(1 << bits, np.uint8)
         for b in batches:
             for w, names in _read(b, longest, limit):
-                at, n = np.unique(w.hashes(names, bits)[w.goes_on & w.opens], return_counts=True)
+                h = w.may_open(names, sent.value, bits)[1]
+                at, n = np.unique(h[w.opens & (h >= 0)], return_counts=True)
                 seen[at] = np.minimum(seen[at] + n, least)
         pack = zstandard.ZstdCompressor(level=1)
         for page in range(0, len(seen), PAGE):
@@ -148,23 +173,18 @@ def frequent_pairs(docs: DataFrame, least: int, bits: int, longest: int, limit:
 # ---- windows and their prefixes -----------------------------------------------------------------
 
 
-def windows(docs: DataFrame, pairs: np.ndarray, bits: int, longest: int, limit: int) -> DataFrame:
+def windows(docs: DataFrame, filters: list[np.ndarray], bits: int, longest: int, limit: int) -> DataFrame:
     """(lang, w1 .. w_longest, n): the padded longest windows, counted inside each unit; '' is padding."""
-    sent = docs.sparkSession.sparkContext.broadcast(pairs)  # 2^bits bits
+    sent = docs.sparkSession.sparkContext.broadcast(filters)  # 2^bits bits each
 
     def lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for w, names in _read(b, longest, limit):
                 if not len(w.codes):
                     continue
-                h = w.hashes(names, bits)
-                on = w.goes_on & ((sent.value[h >> 3] >> (7 - (h & 7)).astype(np.uint8)) & 1 == 1)
-                pad, size = len(w.vocabulary), len(on)
-                on, codes = np.append(on, np.zeros(longest, bool)), np.append(w.codes, np.zeros(longest, np.int64))
-                columns, linked = [w.lang, w.codes], np.ones(size, bool)
-                for k in range(1, longest):
-                    linked = linked & on[k - 1:size + k - 1]
-                    columns.append(np.where(linked, codes[k:size + k], pad))
+                pad, columns = len(w.vocabulary), [w.lang, w.codes]
+                for k, able in enumerate(w.may_open(names, sent.value, bits)[0], 1):
+                    columns.append(np.where(able, _ahead(w.codes, k), pad))
                 columns = [c[w.opens] for c in columns]
                 key = columns[0]
                 for c in columns[1:]:
@@ -234,15 +254,17 @@ def scored(phrases: DataFrame, totals: DataFrame, longest: int, share: tuple[int
 
 
 def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", longest: int = 4, least: int = 30,
-                 bits: int = 24, limit: int = UNIT) -> DataFrame:
+                 bits: int = 25, limit: int = UNIT) -> DataFrame:
     """(lang, phrase, a, l, r, n, score) of all phrases kept, of 2 to ``longest`` words."""
     if longest < 2 or not 1 <= least <= 127 or not 18 <= bits <= 30:
         raise ValueError("longest >= 2, least from 1 to 127, bits from 18 to 30")
     spark = docs.sparkSession
     rows = docs.select(F.coalesce(F.col(f"`{lang_col}`"), F.lit("und")).alias("lang"), F.col(f"`{text_col}`").alias("text"))
     with batches_of(spark):
-        pairs = frequent_pairs(rows, least, bits, longest, limit)
-        phrases, totals = phrase_counts(windows(rows, pairs, bits, longest, limit), longest, least)
+        filters: list[np.ndarray] = []
+        for _ in range(longest - 1):
+            filters.append(frequent_runs(rows, filters, least, bits, longest, limit))
+        phrases, totals = phrase_counts(windows(rows, filters, bits, longest, limit), longest, least)
     return scored(phrases, totals, longest)
 
 

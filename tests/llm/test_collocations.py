@@ -64,8 +64,8 @@ def test_shorter_and_longer_windows(spark):
         assert result(C.collocations(docs, least=4, longest=longest, bits=18)) == brute(rows, 4, longest)
 
 
-def test_the_hash_of_pairs_does_not_matter(spark):
-    """With 2^18 hashes for far more pairs than that, nearly none is ruled out."""
+def test_the_hash_of_runs_does_not_matter(spark):
+    """With 2^18 hashes for far more runs than that, nearly none is ruled out."""
     r = random.Random(3)
     rows = [("en", " ".join("w%d" % r.randint(0, 3000) for _ in range(20_000)) + " one two three" * 40) for _ in range(12)]
     docs = spark.createDataFrame(rows, "lang string, text string")
