@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from fenloom.operators import expression as V
+from fenloom.operators import mixed as X
 from fenloom.plans import roles
 from fenloom.plans.models import SHEET, sheet
 from fenloom.plans.registry import query, rnd, with_
@@ -115,6 +116,24 @@ def v5(spark, sf):
                    "log_fc", "ave_expr", "t", "p", "padj")
 
 
+def plant_fits(spark, sf):
+    """Contrasts of the weighted log counts with a random intercept per block of the sample sheet."""
+    blocks = sheet(spark, sf).select("sample_id", "block")
+    return X.block_contrasts(voomed(spark, sf).join(F.broadcast(blocks), "sample_id"), V.one_against_rest(GROUPS))
+
+
+@query("v4_plant_contrasts")
+def v4_plant(spark, sf):
+    return rounded(plant_fits(spark, sf), "log_fc", "ave_expr", "unscaled", "s2", "df", "df_s2", "ratio", digits=5)
+
+
+@query("v5_plant_top_table")
+def v5_plant(spark, sf):
+    out = V.top_table(X.moderate(plant_fits(spark, sf)), "TestCommA")
+    return rounded(out.select("feature_id", "contrast", "log_fc", "ave_expr", "t", "df_total", "p", "padj"),
+                   "log_fc", "ave_expr", "t", "df_total", "p", "padj")
+
+
 # p-values made from hashes of the part key, so that SQL can follow the later steps
 RES = """res0 AS (SELECT p_partkey AS feature_id, c AS contrast,
   power((('0x' || substr(md5(concat_ws('|', c, p_partkey)), 1, 8))::BIGINT // 1048576) / 4096.0::DOUBLE, 4) AS p,

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from fenloom.operators import distance as D
+from fenloom.operators import mixed as X
 from fenloom.operators import models as M
 from fenloom.operators import permutation as P
 from fenloom.operators import summary
@@ -256,6 +257,22 @@ def h4(spark, sf):
     return rounded(M.fit_glm(coded, formula, "poisson", "log"), "estimate", "se")
 
 
+def weekly(spark, sf):
+    per = table(spark, sf, "events").groupBy("event_type", F.weekofyear("ts").alias("week"), "user_id").agg(F.count(F.lit(1)).alias("n"))
+    return X.PoissonIntercepts(per, "n", ("event_type", "week"), "user_id")
+
+
+@query("h4_poisson_plant_intercepts")
+def h4_fixed(spark, sf):
+    m = weekly(spark, sf)
+    return rounded(m.coefficients, "estimate", "se").withColumn("intercept_sd", F.lit(round(m.variance ** 0.5, 4)))
+
+
+@query("h4_plant_effects")
+def h4_random(spark, sf):
+    return rounded(weekly(spark, sf).intercepts, "estimate", "sd")
+
+
 @query("h5_variance_components", f"""
 WITH m AS (SELECT event_type, avg(value) AS fm FROM events GROUP BY 1),
 g AS (SELECT user_id, count(*)::DOUBLE AS n, avg(value - fm) AS m, coalesce(var_samp(value - fm), 0) AS v
