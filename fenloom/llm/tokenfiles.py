@@ -25,60 +25,29 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.taskcontext import TaskContext
 
-from fenloom.llm.common import once, small_batches, text_of
+from fenloom.llm.common import once, text_of
+from fenloom.llm.tokens import RunEncoder
+from fenloom.llm.words import batches_of, units
 
 BLOCK_BYTES = 1 << 20
-CACHE = 600_000
 
 
 class Encoder:
-    """A tokenizers file whose words are encoded once each.
+    """A tokenizers file whose runs of characters are encoded once each, with serialised ids.
 
-    Splitting at ASCII white space is safe where the tokenizer drops white space before it
-    splits; ``whole`` encodes a text at once and must agree (see the tests).
+    ``whole`` encodes a text at once and must agree (see the tests).
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        self.runs = RunEncoder(path)
+        self.width = 2 if self.runs.tokenizer.get_vocab_size() <= 1 << 16 else 4
+        self.whole = self.runs.whole
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
-        self.known: dict[bytes, bytes] = {}
-
-    def whole(self, text: str) -> list[int]:
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
-
-    def _words(self, words: list[bytes]) -> dict[bytes, bytes]:
-        """The serialised ids of each word."""
-        got = self.tokenizer.encode([w.decode() for w in words], is_pretokenized=True, add_special_tokens=False)
-        ids, of = np.array(got.ids, f"<u{self.width}"), np.array(got.word_ids, np.int64)
-        raw, at = ids.tobytes(), np.searchsorted(of, np.arange(len(words) + 1)) * self.width
-        return {w: raw[a:b] for w, a, b in zip(words, at[:-1].tolist(), at[1:].tolist())}
-
-    def encode(self, texts: list[str | None], end: int) -> list[bytes]:
+    def encode(self, texts: list[bytes], end: int) -> list[bytes]:
         """Serialised ids of each text, the end id last."""
-        split = [(t or "").encode().split() for t in texts]
-        known = self.known
-        new = sorted(set().union(*split).difference(known))
-        if new:
-            found = self._words(new)
-            if len(known) + len(found) <= CACHE:
-                known.update(found)
-            else:  # the words met first are the common ones and stay
-                known = _Both(known, found)
-        get, stop = known.__getitem__, np.array([end], f"<u{self.width}").tobytes()
-        return [b"".join([*map(get, words), stop]) for words in split]
-
-
-class _Both(dict):
-    """The words of a batch beside the kept ones."""
-
-    def __init__(self, kept: dict, found: dict):
-        super().__init__(found)
-        self.kept = kept
-
-    def __missing__(self, word: bytes) -> bytes:
-        return self.kept[word]
+        ids, begin = self.runs.encode(texts, end)
+        raw, at = ids.astype(f"<u{self.width}").tobytes(), (begin * self.width).tolist()
+        return [raw[a:b] for a, b in zip(at[:-1], at[1:])]
 
 
 def encoder(path: str) -> Encoder:
@@ -88,8 +57,8 @@ def encoder(path: str) -> Encoder:
 def _ids_of(path: str, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = encoder(path).encode(b.column("text").to_pylist(), end)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary())], names=["ids"])
+            for _, _, texts in units(b):
+                yield pa.RecordBatch.from_arrays([pa.array(encoder(path).encode(texts, end), pa.binary())], names=["ids"])
 
     return run
 
@@ -131,12 +100,13 @@ def _frames(path: str, end: int, dictionary: bytes, level: int):
         for b in batches:
             kind = b.column(0).type
             coder = encoder(path)
-            for doc, ids in zip(b.column(0).to_pylist(), coder.encode(b.column(1).to_pylist(), end)):
-                frame = pack.compress(ids)
-                held.append((doc, len(ids) // coder.width, frame))
-                size += len(frame)
-                if size >= BLOCK_BYTES:
-                    yield flush()
+            for lo, hi, texts in units(b, 1):
+                for doc, ids in zip(b.column(0).slice(lo, hi - lo).to_pylist(), coder.encode(texts, end)):
+                    frame = pack.compress(ids)
+                    held.append((doc, len(ids) // coder.width, frame))
+                    size += len(frame)
+                    if size >= BLOCK_BYTES:
+                        yield flush()
         if held:
             yield flush()
 
@@ -150,9 +120,9 @@ def write(docs: DataFrame, folder: str, path: str, end: int = 2, id_col: str = "
     ``sample`` documents, chosen by a hash of their id, train the dictionary.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    dictionary = train_dictionary(docs, "id", "text", path, end, sample, dictionary_size)
+    with batches_of(spark):
+        dictionary = train_dictionary(docs, "id", "text", path, end, sample, dictionary_size)
     width = encoder(path).width
     spark.range(1).select(F.lit(hashlib.sha256(dictionary).hexdigest()[:16]).alias("hash"), F.lit(bytearray(dictionary)).alias("bytes"),
                           F.lit(width).alias("width")).write.parquet(f"{folder}/dictionary")
@@ -161,10 +131,11 @@ def write(docs: DataFrame, folder: str, path: str, end: int = 2, id_col: str = "
     parts = shards or max(int(spark.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions())
     ordered = docs.repartitionByRange(parts, "id", tie).sortWithinPartitions("id", tie)
     kind = dict(docs.dtypes)["id"]
-    ordered.mapInArrow(
-        _frames(path, end, dictionary, level),
-        f"shard int, block int, doc_ids array<{kind}>, counts array<long>, offsets array<long>, dictionary string, payload binary",
-    ).write.parquet(f"{folder}/blocks")
+    with batches_of(spark):
+        ordered.mapInArrow(
+            _frames(path, end, dictionary, level),
+            f"shard int, block int, doc_ids array<{kind}>, counts array<long>, offsets array<long>, dictionary string, payload binary",
+        ).write.parquet(f"{folder}/blocks")
 
 
 def _opened(spark: SparkSession, folder: str) -> tuple[str, bytes, int]:

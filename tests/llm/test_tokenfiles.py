@@ -5,7 +5,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from fenloom.llm import tokenfiles
+from fenloom.llm import tokenfiles, tokens
 from fenloom.session import scratch_path
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -15,17 +15,17 @@ TEXTS = ["a<|endoftext|>b  c", "Σας ΟΔΟΣ ΟΔΟΣ. x", "é ́a", "a b　c
 
 def test_words_encoded_alone_give_the_ids_of_the_text():
     e = tokenfiles.Encoder(PATH)
-    for text, ids in zip(TEXTS, e.encode(TEXTS, 2)):
+    for text, ids in zip(TEXTS, e.encode([(t or "").encode() for t in TEXTS], 2)):
         assert np.frombuffer(ids, "<u2").tolist() == e.whole(text or "") + [2]
 
 
 def test_a_full_cache_changes_nothing(monkeypatch):
-    monkeypatch.setattr(tokenfiles, "CACHE", 5)
+    monkeypatch.setattr(tokens, "KEPT", 5)
     e = tokenfiles.Encoder(PATH)
     for _ in range(2):
         for text in TEXTS:
-            assert np.frombuffer(e.encode([text], 2)[0], "<u2").tolist() == e.whole(text or "") + [2]
-    assert len(e.known) <= 5
+            assert np.frombuffer(e.encode([(text or "").encode()], 2)[0], "<u2").tolist() == e.whole(text or "") + [2]
+    assert len(e.runs.known) <= 5
 
 
 def _want(rows):
@@ -61,3 +61,10 @@ def test_odd_rows(spark, odd_docs, no_docs):
     folder = scratch_path(spark, "tokens")
     tokenfiles.write(no_docs, folder, PATH)
     assert tokenfiles.read(spark, folder).count() == 0
+
+
+def test_the_setting_of_the_session_stays(spark):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key, None)
+    tokenfiles.write(spark.createDataFrame([(1, "a b")], "doc_id long, text string"), scratch_path(spark, "tokens"), PATH)
+    assert spark.conf.get(key, None) == before
