@@ -2,13 +2,36 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import time
+from collections.abc import Iterator
+
 import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from fenloom.llm import exact, langid, mixing, near, pieces
 from fenloom.session import cut_lineage, scratch_path
 
 
+def _returned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    yield from batches
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    ctypes.CDLL(None).malloc_trim(0)
+    time.sleep(0.2)  # so that the tasks of a wave run side by side, each in a worker of its own
+
+
+def return_memory(spark: SparkSession) -> None:
+    """Python workers keep the memory of their largest task; a wave of empty tasks has them return it.
+
+    It changes no result, and a stage runs without it as well, only beside fuller workers.
+    """
+    slots = spark.sparkContext.defaultParallelism
+    spark.range(0, 2 * slots, 1, 2 * slots).mapInArrow(_returned, "id long").count()
+
+
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised; the classifier learns from rows that are not held out."""
     model = langid.fit(docs)
@@ -23,11 +46,13 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates one stays."""
+    return_memory(spark)
     return near.NearDuplicates(docs, keep_rows=True).kept()
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as the mix takes them: repeated, left out, or cut at the edges of blocks."""
+    return_memory(spark)
     spool = cut_lineage(mixing.sized(docs, "doc_id", "source", "text"), "sizes")
     taken = mixing.Mix(spool.drop("row")).take(spool, "text", docs.columns)
     return taken.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else taken
@@ -35,6 +60,7 @@ def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The ids of each document under merge-dropout, and whether they decode to its text."""
+    return_memory(spark)
     path = public_tokenizers.path("piece_bpe_32k.model")
     rows = pieces.encode_documents(docs, path)
     text = F.coalesce("row.text", F.lit(""))
