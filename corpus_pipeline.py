@@ -1,8 +1,14 @@
-"""The corpus pipeline: stages over documents, each written as Parquet and read again by the next."""
+"""The corpus pipeline: stages over documents, each written as Parquet and read again by the next.
+
+As a stage reads what its predecessor wrote, the predecessor's own scratch tables are not needed
+any more when it is called, and it drops them: a stage's result is to be written, or counted,
+before the next stage is called.
+"""
 
 from __future__ import annotations
 
 import ctypes
+import functools
 import gc
 import time
 from collections.abc import Iterator
@@ -12,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from fenloom.llm import exact, langid, mixing, near, pieces
-from fenloom.session import cut_lineage, scratch_path
+from fenloom.session import cut_lineage, drop_scratch, scratch_group, scratch_path
 
 
 def _returned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -32,6 +38,22 @@ def return_memory(spark: SparkSession) -> None:
     spark.range(0, 2 * slots, 1, 2 * slots).mapInArrow(_returned, "id long").count()
 
 
+_scratch: list[str] = []
+
+
+def stage(work):
+    @functools.wraps(work)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        while _scratch:
+            drop_scratch(spark, _scratch.pop())
+        with scratch_group(spark, work.__name__) as folder:
+            _scratch.append(folder)
+            return work(spark, docs, sf_dir)
+
+    return run_stage
+
+
+@stage
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised; the classifier learns from rows that are not held out."""
     model = langid.fit(docs)
@@ -39,17 +61,20 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return found.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
+@stage
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents with equal text one stays."""
     return exact.ExactDedup(docs).kept()
 
 
+@stage
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates one stays."""
     return_memory(spark)
     return near.NearDuplicates(docs, keep_rows=True).kept()
 
 
+@stage
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as the mix takes them: repeated, left out, or cut at the edges of blocks."""
     return_memory(spark)
@@ -58,6 +83,7 @@ def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return taken.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else taken
 
 
+@stage
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The ids of each document under merge-dropout, and whether they decode to its text."""
     return_memory(spark)
@@ -82,8 +108,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (_, stage) in enumerate(STAGES):
+    before = None
+    for k, (_, work) in enumerate(STAGES):
         path = scratch_path(spark, f"stage-{k}")
-        stage(spark, docs, sf_dir).write.parquet(path)
+        work(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            drop_scratch(spark, before)
+        before = path
     return docs

@@ -5,9 +5,14 @@ from __future__ import annotations
 import math
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+_GROUPS: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
@@ -29,7 +34,27 @@ def shared_dir(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    return "/".join([shared_dir(spark), *_GROUPS, f"{name}-{uuid.uuid4().hex}"])
+
+
+@contextmanager
+def scratch_group(spark: SparkSession, name: str) -> Iterator[str]:
+    """Paths that :func:`scratch_path` gives while the block runs lie below one fresh folder, so that
+    they can be dropped together once no result reads them."""
+    folder = scratch_path(spark, name)
+    _GROUPS.append(folder.rsplit("/", 1)[1])
+    try:
+        yield folder
+    finally:
+        _GROUPS.pop()
+
+
+def drop_scratch(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder that :func:`scratch_group` or :func:`scratch_path` made."""
+    if not folder.startswith(shared_dir(spark) + "/"):
+        raise ValueError(f"{folder} is not below the shared folder")
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def cut_lineage(df: DataFrame, name: str = "cut") -> DataFrame:
