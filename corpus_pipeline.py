@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from fenloom.llm import exact, langid, mixing, near, pieces
-from fenloom.session import cut_lineage, drop_scratch, scratch_group, scratch_path
+from fenloom.session import cut_lineage, drop_scratch, scratch_group, scratch_path, shared_dir
 
 
 def _returned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -38,16 +38,17 @@ def return_memory(spark: SparkSession) -> None:
     spark.range(0, 2 * slots, 1, 2 * slots).mapInArrow(_returned, "id long").count()
 
 
-_scratch: list[str] = []
+_scratch: dict[str, list[str]] = {}  # by shared folder
 
 
 def stage(work):
     @functools.wraps(work)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        while _scratch:
-            drop_scratch(spark, _scratch.pop())
+        left = _scratch.setdefault(shared_dir(spark), [])
+        while left:
+            drop_scratch(spark, left.pop())
         with scratch_group(spark, work.__name__) as folder:
-            _scratch.append(folder)
+            left.append(folder)
             return work(spark, docs, sf_dir)
 
     return run_stage
