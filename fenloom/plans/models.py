@@ -1,8 +1,9 @@
 """Permutation tests, factor models and intervals on the driver's tables."""
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from fenloom.operators import distance as D
+from fenloom.operators import growth as G
 from fenloom.operators import mixed as X
 from fenloom.operators import models as M
 from fenloom.operators import permutation as P
@@ -400,3 +401,16 @@ def h14(spark, sf):
     y = table(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("sample_id")).agg(F.sum("l_quantity").alias("y"))
     out = M.pairwise_means(y.join(sheet(spark, sf), "sample_id"), "y", "treatment", "sample_id", 199)
     return rounded(out, "diff", "q", "p")
+
+
+@query("h20_growth_columns")
+def h20(spark, sf):
+    """Running totals of events as growth curves of users, and the rate by the user's first event type."""
+    e = table(spark, sf, "events").select("user_id", "event_type", "ts", F.to_date("ts").alias("day"))
+    daily = e.groupBy("user_id", "day").agg(F.count(F.lit(1)).alias("n"))
+    along = Window.partitionBy("user_id").orderBy("day")  # a row a day
+    total = daily.select("user_id", F.unix_date("day").alias("t"), F.sum("n").over(along).alias("y"))
+    start = e.groupBy("user_id").agg(F.min("day").alias("first"), F.min_by("event_type", F.struct("ts", "event_type")).alias("event_type"))
+    since = total.join(start, "user_id").withColumn("t", F.col("t") - F.unix_date("first"))
+    curves = G.logistic_growth(since, ["user_id", "event_type"], "t", "y")
+    return rounded(M.fit_factor(curves.filter("converged"), "r", "event_type", "click"), "estimate", "se", "sigma", digits=4)
