@@ -13,9 +13,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from fenloom.functions.scalar import hash32
-from fenloom.functions.tails import f_pvalue
+from fenloom.functions.tails import f_pvalue, range_pvalue
 from fenloom.operators.permutation import EPS, MAX_CELLS, _design
-from fenloom.session import spread
+from fenloom.session import cut_lineage, spread
 
 
 def fit_factor(df: DataFrame, y: str, factor: str, ref, family: str = "gaussian") -> DataFrame:
@@ -313,3 +313,24 @@ def pp_check(df: DataFrame, y: str, factor: str, row_id: str, n_draws: int, seed
     both = rows.select(F.lit(0).alias("draw"), "_y").unionByName(rep)
     return both.groupBy("draw").agg(
         F.avg("_y").alias("mean"), F.stddev_samp("_y").alias("sd"), F.min("_y").alias("min"), F.max("_y").alias("max"))
+
+
+def tukey_pairs(df: DataFrame, y: str, factor: str) -> DataFrame:
+    """(level_a, level_b, diff, q, p) of all pairs of levels, p from the studentised range (Tukey-Kramer).
+
+    Group moments are aggregated first; the pairs are a join of that table with itself, a row a pair.
+    Null readings and levels are left out; with no scatter left, q and p are null.
+    """
+    grp = df.filter(F.col(y).isNotNull() & F.col(factor).isNotNull()).groupBy(F.col(factor).alias("level")).agg(
+        F.count(F.lit(1)).alias("n"), F.avg(y).alias("m"), F.var_samp(y).alias("v"))
+    grp = cut_lineage(grp, "levels")
+    s = grp.agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("n"), F.sum((F.col("n") - 1) * F.coalesce("v", F.lit(0.0))).alias("ss")).first()
+    free = float((s["n"] or 0) - s["k"])
+    s2 = s["ss"] / free if free > 0 else 0.0
+    a = grp.select(F.col("level").alias("level_a"), F.col("n").alias("na"), F.col("m").alias("ma"))
+    b = grp.select(F.col("level").alias("level_b"), F.col("n").alias("nb"), F.col("m").alias("mb"))
+    diff = F.col("mb") - F.col("ma")
+    q = F.when(F.lit(s2 > 0), F.abs(diff) / F.sqrt(F.lit(s2 / 2) * (1 / F.col("na") + 1 / F.col("nb"))))
+    pairs = a.join(b, F.col("level_a") < F.col("level_b")).select("level_a", "level_b", diff.alias("diff"), q.alias("q"))
+    p = range_pvalue("q", F.lit(float(s["k"])), F.lit(free))
+    return pairs.withColumn("p", p).withColumn("p", F.when(~F.isnan("p"), F.col("p")))

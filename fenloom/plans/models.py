@@ -414,3 +414,8 @@ def h20(spark, sf):
     since = total.join(start, "user_id").withColumn("t", F.col("t") - F.unix_date("first"))
     curves = G.logistic_growth(since, ["user_id", "event_type"], "t", "y")
     return rounded(M.fit_factor(curves.filter("converged"), "r", "event_type", "click"), "estimate", "se", "sigma", digits=4)
+
+
+@query("h14_tukey_range")
+def h14_range(spark, sf):
+    return rounded(M.tukey_pairs(table(spark, sf, "events"), "value", "event_type"), "diff", "q", "p")
