@@ -15,7 +15,9 @@ single junk or mislabelled rows move it by no more than their share. A text of s
 training did not meet has a mean near zero, so its score is near the labels' shares.
 
 Null text and text without a letter is ``und`` with score 0 and rejected; where no label can be
-learned every text is. Rows with a null label or id are scored but not learned from.
+learned every text is. Rows with a null label or id are scored but not learned from. Repeated rows
+and ties are scored one by one; of labels with equal scores the first by name is predicted. Very long
+texts are read whole, a piece at a time, and counted as if they were one piece.
 """
 
 from __future__ import annotations
@@ -43,19 +45,19 @@ def letters() -> np.ndarray:
 def subwords(text: str, buckets: int) -> Iterator[np.ndarray]:
     """Bucket numbers of all subwords of a whole text, a piece of about 260,000 characters at a time."""
     codes = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+    codes = np.concatenate([[np.uint32(0)], codes, [np.uint32(0)]])
     for at in range(0, len(codes), PIECE):
-        piece = codes[max(0, at - 1): at + PIECE]
-        yield from _grams(piece, buckets)
+        # subwords that begin in a piece may end in the next one; each is counted where it begins
+        yield from _grams(codes[at: at + PIECE + ORDERS[-1] - 1], PIECE, buckets)
 
 
-def _grams(codes: np.ndarray, buckets: int) -> Iterator[np.ndarray]:
-    letter = letters()[codes]
-    c = np.zeros(len(codes) + 2, np.uint64)
-    c[1:-1] = np.where(letter, codes, 0)
+def _grams(codes: np.ndarray, starts: int, buckets: int) -> Iterator[np.ndarray]:
+    """Bucket numbers of the subwords that begin at the first ``starts`` places."""
+    c = np.where(letters()[codes], codes, 0).astype(np.uint64)
     inner = c != 0
     h = c.copy()
     mask = np.uint64(buckets - 1)
-    yield (_mixed(h[inner], 1) & mask).astype(np.int32)
+    yield (_mixed(h[:starts][inner[:starts]], 1) & mask).astype(np.int32)
     for n in ORDERS[1:]:
         h = h[:-1] * np.uint64(0x9E3779B97F4A7C15) + c[n - 1:]
         # a gram may begin or end at a word's edge but not run over one
@@ -63,9 +65,7 @@ def _grams(codes: np.ndarray, buckets: int) -> Iterator[np.ndarray]:
         for j in range(1, n - 1):
             ok &= inner[j: j + len(h)]
         ok &= inner[: len(h)] | inner[n - 1:]
-        if n == 2:
-            ok &= inner[:-1] | inner[1:]
-        yield (_mixed(h[ok], n) & mask).astype(np.int32)
+        yield (_mixed(h[:starts][ok[:starts]], n) & mask).astype(np.int32)
 
 
 def _mixed(h: np.ndarray, n: int) -> np.ndarray:

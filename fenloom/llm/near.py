@@ -12,7 +12,9 @@ compared. Classes that share a band of the signature are candidates. They are no
 pairs: each bucket first checks its members against one leader (the class that shares most
 buckets), links are closed into components, and only buckets whose other members still form
 several components are compared as tiles of a matrix product. Every candidate pair is thereby
-checked or already in one component. A check is exact, on the sets of (shingle, occurrence) pairs.
+checked or already in one component. A check compares the sets of (shingle, occurrence) pairs by
+32-bit hashes: among n of them about n * n / 2**33 meet by chance, so that with texts of a hundred
+thousand words a similarity a few shingles from the threshold may be judged wrongly.
 
 Null and empty texts, and texts without a word, are groups of their own. Rows repeated with one
 id are separate rows of one class. Null ids come last when the row that stays is chosen.

@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from fenloom.llm import langid
@@ -35,12 +36,41 @@ def test_a_junk_row_does_not_lower_the_limit():
     assert model.threshold == 0.5
 
 
-def test_pieces_of_a_long_text_add_up(monkeypatch):
-    text = "alpha beta, gamma " * 300
-    whole = langid.counts_of(text, 1024)
-    assert whole.sum() > 0
-    monkeypatch.setattr(langid, "PIECE", 18 * 7)
-    assert np.abs(langid.counts_of(text, 1024) - whole).sum() < 0.1 * whole.sum()
+def plain_counts(text, buckets):
+    """Subwords of a text by one loop over its words."""
+    out, low = np.zeros(buckets), 2 ** 64 - 1
+    words = "".join(c if c.isalpha() else " " for c in (text or "").lower()).split(" ")
+    for w in words:
+        edged = [0, *map(ord, w), 0]
+        for n in (1, 2, 3, 4):
+            for i in range(len(edged) - n + 1):
+                gram = edged[i: i + n]
+                if not w or (gram[0] == 0 and gram[-1] == 0):
+                    continue
+                h = 0
+                for c in gram:
+                    h = (h * 0x9E3779B97F4A7C15 + c) & low
+                h = (h + n) * 0xBF58476D1CE4E5B9 & low
+                h = (h ^ h >> 29) * 0x94D049BB133111EB & low
+                out[(h ^ h >> 32) & (buckets - 1)] += 1
+    return out
+
+
+@pytest.mark.parametrize("piece", [1, 2, 3, 7, 126, 1 << 18])
+def test_subwords_against_a_plain_loop_whatever_the_pieces(monkeypatch, piece):
+    monkeypatch.setattr(langid, "PIECE", piece)
+    for text in ("Alpha beta, gamma " * 20, "", "a", "ab c", "Straße \U0001F600 é́ İ\x00x", "12 34", None):
+        assert (langid.counts_of(text, 1024) == plain_counts(text, 1024)).all(), text
+
+
+def test_prediction_against_a_plain_softmax(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = langid.fit(docs)
+    for r in langid.predict(docs.limit(20), model).collect():
+        counts = plain_counts(r["row"]["text"], len(model.table))
+        z = [sum(counts[b] * model.table[b, k] for b in np.flatnonzero(counts)) / counts.sum() + model.bias[k] for k in range(len(model.labels))]
+        e = [np.exp(x / model.temperature) for x in z]
+        assert r["lang_pred"] == model.labels[int(np.argmax(e))] and abs(r["score"] - max(e) / sum(e)) < 1e-5
 
 
 def test_odd_rows(odd_docs):
