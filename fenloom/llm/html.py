@@ -12,7 +12,9 @@ forms, reader comments); pages labelled by hand may be passed instead. Nothing i
 the pages to be extracted.
 
 Null and empty html give an empty text; unclosed, truncated and misnested markup is closed as a
-browser would for blocks; markup without content gives an empty text. The whole page is read.
+browser would for blocks; markup without content gives an empty text. The whole page is read, in
+time linear in it. Each row is read by itself, so repeated rows and ids give their text each; an
+empty table gives an empty one; a block as likely content as not is left out.
 """
 
 from __future__ import annotations
@@ -35,8 +37,10 @@ from fenloom.llm.common import packed, small_batches
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 HIDDEN = set("script style noscript template head title textarea select option svg iframe object canvas datalist".split())
 RAW = set("script style textarea title iframe noscript".split())
-INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rp rt s samp small "
-             "span strike strong sub sup time tt u var br wbr img button input".split())
+INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q ruby rp rt s samp small "
+             "span strike strong sub sup time tt u var br wbr img input".split())
+#: Parts of forms that stand inside lines; what they hold is not text.
+FORM = set("button label legend output meter progress".split())
 #: Elements that end an open paragraph, and those that end an open one of their own kind.
 ENDS_P = set("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 "
              "h3 h4 h5 h6 header hr main menu nav ol p pre section table ul li dd dt tr td th thead tbody tfoot".split())
@@ -45,8 +49,10 @@ ENDS_SELF = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr",
 STOP = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"},
         "tbody": {"table"}, "thead": {"table"}, "option": {"select"}}
 
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<![^>]*(?:>|$)|<\?[^>]*(?:>|$)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|$)"
-                   r"|<([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?:>|$)", re.S)
+#: No part gives back what it has taken, and a value without its closing quote runs to the end of the page.
+TOKEN = re.compile(r"<!--.*?(?:-->|$)|<![^>]*+(?:>|$)|<\?[^>]*+(?:>|$)|</([a-zA-Z][^\s/>]*+)[^>]*+(?:>|$)"
+                   r"|<([a-zA-Z][^\s/>]*+)((?:=\s*+(?:\"[^\"]*+(?:\"|$)|'[^']*+(?:'|$))|[^>])*+)(?:>|$)", re.S)
+END = {tag: re.compile(rf"</{tag}(?=[\s/>]|$)[^>]*+(?:>|$)", re.I) for tag in sorted(HIDDEN | RAW)}
 ATTR = re.compile(r"(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
 LINE = re.compile(r"\s+")
 #: Elements that stand by their tag even when they have a name.
@@ -64,15 +70,22 @@ class Node:
     words: tuple[str, ...] = ()
     text: str | None = None  # of a block
     linked: int = 0
+    top: bool = False  # stands in the body itself
     children: list[int] = field(default_factory=list)
 
 
 def parse(page: str) -> list[Node]:
-    """The tree of a page, parents before children; leaves with text are its blocks."""
+    """The tree of a page, parents before children; leaves with text are its blocks.
+
+    Time is linear in the page: the places of each tag among the open elements are kept, and a tag
+    whose end was not found once is not looked for again.
+    """
     nodes, open_ = [Node("root", -1)], [0]
+    places: dict[str, list[int]] = defaultdict(list)  # of open elements, by tag
+    endless: set[str] = set()
     line: list[str] = []
-    inline: list[str] = []
     links = linked = at = 0
+    muted: tuple[str, int] | None = None  # part of a form, and how many elements were open around it
 
     def end_block():
         nonlocal linked
@@ -89,10 +102,23 @@ def parse(page: str) -> list[Node]:
 
     def say(text: str):
         nonlocal linked
+        if muted:
+            return
         line.append(text)
         if links:
             linked += len(text)
 
+    def last(tags) -> int:
+        return max((places[t][-1] for t in tags if places.get(t)), default=0)
+
+    def cut(to: int):
+        """Only the first ``to`` elements stay open."""
+        nonlocal muted
+        while len(open_) > to:
+            places[nodes[open_.pop()].tag].pop()
+        if muted and to < muted[1]:
+            muted = None
+
     while at < len(page):
         m = TOKEN.search(page, at)
         if not m:
@@ -103,59 +129,64 @@ def parse(page: str) -> list[Node]:
         close, tag, attrs = m[1], m[2], m[3]
         if close:
             close = close.lower()
-            if close in INLINE:
+            if close in FORM:
+                if muted and muted[0] == close:
+                    muted = None
+            elif close in INLINE:
                 if close == "a":
                     links = max(0, links - 1)
-                if inline and close in inline:
-                    inline.remove(close)
-            elif close in (nodes[i].tag for i in open_[1:]):
+            elif places.get(close):
                 end_block()
                 links = 0
-                while nodes[open_.pop()].tag != close:
-                    pass
+                cut(places[close][-1])
             continue
         if not tag:
             continue
         tag = tag.lower()
         if tag in RAW or tag in HIDDEN and tag != "head":
-            done = re.compile(rf"</{re.escape(tag)}\s*[^>]*(?:>|$)", re.I).search(page, at)
-            if attrs is None or not attrs.endswith("/"):
-                at = done.end() if done else (len(page) if tag in RAW else at)
             line.append(" ")
+            if not attrs.endswith("/"):
+                done = None if tag in endless else END[tag].search(page, at)
+                if done:
+                    at = done.end()
+                else:
+                    endless.add(tag)
+                    at = len(page) if tag in RAW else at
             continue
         if tag == "br":
             line.append(" ")
             continue
+        if tag in FORM:
+            line.append(" ")
+            if not muted and not attrs.endswith("/"):
+                muted = (tag, len(open_))
+            continue
         if tag in INLINE:
             links += tag == "a"
             continue
-        if tag in ENDS_P:
+        if tag in ENDS_P and places["p"]:
             # a paragraph still open ends here, with what was opened inside it
-            tags = [nodes[i].tag for i in open_]
-            if "p" in tags:
-                end_block()
-                del open_[tags.index("p"):]
+            end_block()
+            cut(places["p"][-1])
         end_block()
         links = 0
         if tag in ENDS_SELF:
-            for i in range(len(open_) - 1, 0, -1):
-                if nodes[open_[i]].tag in STOP.get(tag, ()):
-                    break
-                if nodes[open_[i]].tag in ENDS_SELF[tag]:
-                    del open_[i:]
-                    break
-        if tag in VOID or tag in ("html",):
+            own = last(ENDS_SELF[tag])
+            if own > last(STOP.get(tag, ())):
+                cut(own)
+        if tag in VOID or tag == "html":
             continue
-        if tag == "body":
-            open_ = [i for i in open_ if nodes[i].tag not in ("head",)]
+        if tag == "body" and places["head"]:
+            cut(places["head"][0])
         words = []
-        for k, v in ATTR.findall(attrs or ""):
+        for k, v in ATTR.findall(attrs):
             k, v = k.lower(), v.strip("\"'").lower()
             if k in ("class", "id", "role"):
                 words += [w for w in re.split(r"[^a-z]+", v) if w]
             elif k == "hidden" or k == "aria-hidden" and v == "true" or k == "style" and re.search(r"display\s*:\s*none", v):
                 words.append("#hidden")
-        open_.append(add(Node(tag, open_[-1], tuple(dict.fromkeys(words)))))
+        places[tag].append(len(open_))
+        open_.append(add(Node(tag, open_[-1], tuple(dict.fromkeys(words)), top=nodes[open_[-1]].tag == "body")))
     end_block()
     return nodes
 
@@ -176,7 +207,10 @@ def features(nodes: list[Node]) -> list[list[str]]:
         share = linked[i] / size[i] if size[i] else 0
         f = [f"word={w}" for w in n.words]
         if n.tag not in PARTS:
-            f += [f"tag={n.tag}", "links=" + ("none" if not linked[i] else "some" if share < 0.5 else "most")]
+            f.append(f"tag={n.tag}")
+            # the links of a list's items are seen once, at the list: many items do not decide alone
+            if not linked[i] or n.text is None or nodes[n.parent].tag not in PARTS:
+                f.append("links=" + ("none" if not linked[i] else "some" if share < 0.5 else "most"))
         if n.text is not None:
             f.append(f"length={min(6, int(math.log2(1 + len(n.text) / 12)))}")
             f.append("symbol" if re.match(r"[©®]", n.text) else "plain")
@@ -184,6 +218,10 @@ def features(nodes: list[Node]) -> list[list[str]]:
     return out
 
 
+def log_sum(a: float, b: float) -> float:
+    return a + math.log1p(math.exp(b - a)) if a > b else b + math.log1p(math.exp(a - b))
+
+
 class Model:
     """Log potentials: of what is seen for each label, and of parent and child labels by the child's kind."""
 
@@ -212,27 +250,33 @@ class Model:
 
     @staticmethod
     def kind(n: Node) -> str:
-        return "text" if n.text is not None else "named" if n.words and n.tag not in PLAIN else n.tag
+        if n.text is not None:
+            return "text"
+        if n.words and n.tag not in PLAIN:
+            return "named"
+        return f"{n.tag} at the top" if n.top and n.tag in ("ul", "ol", "header") else n.tag
 
     def marginals(self, nodes: list[Node]) -> np.ndarray:
         """Probability of content for each node, by messages up and down the tree."""
+        own = {k: v.tolist() for k, v in self.own.items()}
+        pair = {k: v.ravel().tolist() for k, v in self.pair.items()}
+        other = np.ravel(self.other).tolist()
         n = len(nodes)
-        own = np.zeros((n, 2))
-        for i, f in enumerate(features(nodes)):
-            for name in f:
-                if name in self.own:  # unseen words say nothing
-                    own[i] += self.own[name]
-        own[0] += self.start
-        pair = [self.pair.get(self.kind(x), self.other) for x in nodes]
-        belief, up = own.copy(), np.zeros((n, 2))
+        total = []
+        for f in features(nodes):
+            known = [own[name] for name in f if name in own]  # unseen words say nothing
+            total.append((sum(v[0] for v in known), sum(v[1] for v in known)))
+        total[0] = total[0][0] + float(self.start[0]), total[0][1] + float(self.start[1])
+        links = [pair.get(self.kind(x), other) for x in nodes]
+        up = [(0.0, 0.0)] * n
         for i in range(n - 1, 0, -1):  # children stand after their parents
-            up[i] = np.logaddexp(*(pair[i] + belief[i]).T)
-            belief[nodes[i].parent] += up[i]
-        total = belief.copy()
+            (a, b, c, d), (u, v), above = links[i], total[i], nodes[i].parent
+            up[i] = x, y = log_sum(a + u, b + v), log_sum(c + u, d + v)
+            total[above] = total[above][0] + x, total[above][1] + y
         for i in range(1, n):
-            without = total[nodes[i].parent] - up[i]
-            total[i] = belief[i] + np.logaddexp(*(pair[i] + without[:, None]))
-        return 1 / (1 + np.exp(np.clip(total[:, 0] - total[:, 1], -700, 700)))
+            (a, b, c, d), (u, v), (x, y), (s, t) = links[i], total[i], up[i], total[nodes[i].parent]
+            total[i] = u + log_sum(a + s - x, c + t - y), v + log_sum(b + s - x, d + t - y)
+        return np.array([1 / (1 + math.exp(min(700.0, u - v))) for u, v in total])
 
     def extract(self, page: str | None) -> str:
         if not page:
@@ -298,6 +342,9 @@ def _layout(r: random.Random) -> tuple[str, set[str]]:
         tag = r.choice(tags)
         return f'<{tag} {r.choice(["class", "class", "id"])}="{name}">{inner}</{tag}>'
 
+    def source() -> str:
+        return f'<a href="/{word()}">{words(r.randint(1, 4), True)}</a>' + (f" {words(r.randint(1, 6), True)}" if r.random() < 0.2 else "")
+
     def items(n: int, of) -> str:
         tag = r.choice(["ul", "ul", "ul", "ol"])
         return f"<{tag}>" + "".join(f"<li>{of()}</li>" for _ in range(n)) + f"</{tag}>"
@@ -319,8 +366,10 @@ def _layout(r: random.Random) -> tuple[str, set[str]]:
             kind = r.random()
             if kind < 0.56:
                 out.append(f"<p>{body}" + ("</p>" if r.random() < 0.85 else ""))
-            elif kind < 0.60:
+            elif kind < 0.59:
                 out.append(named(PART_NAMES + [word()], body, ("p", "p", "div")))
+            elif kind < 0.62:  # a list of sources belongs to the article
+                out.append((heading(r.choice(HEADINGS), words(r.randint(1, 3), True)) if r.random() < 0.5 else "") + items(r.randint(1, 8), source))
             elif kind < 0.69:
                 out.append(items(r.randint(1, 5), lambda: words(r.randint(1, 12), True) + (
                     items(2, lambda: words(r.randint(1, 4), True)) if r.random() < 0.05 else "")))
@@ -347,7 +396,7 @@ def _layout(r: random.Random) -> tuple[str, set[str]]:
 
     parts = []
     menu = items(r.randint(3, 8), link)
-    parts.append(r.choice([lambda: f"<nav>{menu}</nav>", lambda: named(MENU_NAMES, menu), lambda: f"<header>{link(1)}<nav>{menu}</nav></header>",
+    parts.append(r.choice([lambda: f"<nav>{menu}</nav>", lambda: f"<nav>{menu}</nav>", lambda: menu, lambda: named(MENU_NAMES, menu), lambda: f"<header>{link(1)}<nav>{menu}</nav></header>",
                            lambda: named(HEADER_NAMES, f"<h1>{words(2)}</h1><p>{words(5)}</p>{menu}", ("div", "header"))])())
     if r.random() < 0.4:
         parts.append(r.choice([f"<header><p>{words(4)}</p></header>", named(HEADER_NAMES, f"<p>{words(4)}</p>", ("div", "header"))]))
@@ -378,7 +427,7 @@ def _layout(r: random.Random) -> tuple[str, set[str]]:
         if r.random() < chance:
             parts.append(make())
     article = f"<h1>{words(r.randint(2, 9), True)}</h1>" if r.random() < 0.85 else ""
-    if article and r.random() < 0.15:
+    if article and r.random() < 0.4:
         article = f"<header>{article}" + (f"<p>{words(r.randint(3, 20), True)}</p>" if r.random() < 0.5 else "") + "</header>"
     article += prose(r.randint(1, 14))
     for make, chance in ((advert, 0.25), (side, 0.1), (notice, 0.1), (lambda: named(SHARE_NAMES, items(3, lambda: link(1))), 0.2)):

@@ -1,3 +1,5 @@
+import time
+
 import pytest
 
 from fenloom.llm import html
@@ -65,6 +67,30 @@ def test_every_content_tag(model, page, want):
     assert model.extract(page) == want
 
 
+@pytest.mark.parametrize("page, want", [
+    ("<article><p>..</p><button>Share</button><label>Name</label></article>", ".."),
+    ("<article><p>one<label>Name<p>two three</p></article>", "one\ntwo three"),
+    ("<article><p>a <button><b>x</b></button> b</p><form><fieldset><legend>You</legend><input></fieldset></form></article>", "a b"),
+    ("<article><p>Some text here.</p><h2>Resources</h2><ul><li><a href=x>One</a></li><li><a href=y>Two</a></li></ul></article>",
+     "Some text here.\nResources\nOne\nTwo"),
+    ("<article><header><h1>The title of it</h1></header><p>Some body text that is longer.</p><p>And more.</p></article>",
+     "The title of it\nSome body text that is longer.\nAnd more."),
+    ("<article><p>cut in a tag <a href=\"http://x", "cut in a tag"),
+    ("<article><p>text <a title=it's>of</a> a story</p></article>", "text of a story"),
+])
+def test_forms_and_lists(model, page, want):
+    assert model.extract(page) == want
+
+
+@pytest.mark.parametrize("page", [
+    "<div>" * 100_000, "<div><p>x" * 30_000, "<option>x" * 200_000, "<svg>x" * 200_000, "<svg/>x" * 100_000 + "</svg>", "<body>" * 100_000,
+    "<a '\"" * 300_000, "<li><ul>" + "<div>" * 50_000 + "<li></li>" * 50_000, "<" + "a" * 1_000_000 + '"'])
+def test_linear_in_the_page(model, page):
+    start = time.process_time()
+    model.extract(page)
+    assert time.process_time() - start < 5
+
+
 def test_no_tag_decides_alone(model):
     odds = {k: v[1] - v[0] for k, v in model.own.items() if k.startswith("tag=")}
     assert all(abs(odds[f"tag={t}"]) < 5 for t in "h2 h3 h4 h5 h6 ol ul dl figure section table nav footer aside pre".split()), odds
@@ -79,4 +105,5 @@ def test_column(spark):
     rows = spark.createDataFrame([(1, "<article><p>x</p></article>", "t"), (2, None, "t"), (2, "", None)], "page_id long, html string, text string")
     got = html.extract(rows).collect()
     assert sorted((r["row"]["page_id"], r["text"]) for r in got) == [(1, "x"), (2, ""), (2, "")]
-    assert html.extract(rows.limit(0)).count() == 0
+    empty = spark.createDataFrame([], "page_id long, html string, text string")
+    assert html.extract(empty).collect() == []
