@@ -39,12 +39,34 @@ FURTHER = [
     ("licensed under cc by sa", "cc-by-sa"),
     ("all rights reserved", "all-rights-reserved"),
     ("dedicated to the public domain", "public-domain"),
+    ("the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", "mit"),
+    ("the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of "
+     "merchantability fitness for a particular purpose and noninfringement", "mit"),
+    ("redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer", "bsd"),
+    ("redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in "
+     "the documentation and or other materials provided with the distribution", "bsd"),
+    ("neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from "
+     "this software without specific prior written permission", "bsd"),
+    ("you may not use this file except in compliance with the license", "apache"),
+    ("unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis "
+     "without warranties or conditions of any kind either express or implied", "apache"),
+    ("this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of "
+     "merchantability or fitness for a particular purpose", "gpl"),
+    ("this source code form is subject to the terms of the mozilla public license", "mpl"),
 ]
 GAP, COVER, LONGER = 3, 0.8, 1.25
 
 
 def templates(spark: SparkSession) -> DataFrame:
-    """(template, label, base, length, j, w1, w2, h): every pair of adjacent template words."""
+    """(template, label, base, length, j, w1, w2, h): every pair of adjacent template words.
+
+    A template has at most 64 pairs, as the votes of a diagonal are bits of a long, and no pair twice.
+    """
+    for text, _ in BASE + FURTHER:
+        words = text.split(" ")
+        pairs = list(zip(words, words[1:]))
+        if not 1 <= len(pairs) <= 64 or len(set(pairs)) < len(pairs):
+            raise ValueError(f"a template has one to 64 pairs of words, all different: {text!r}")
     rows = [F.struct(F.lit(i).alias("template"), F.lit(label).alias("label"), F.lit(i < len(BASE)).alias("base"),
                      F.split(F.lit(text), " ").alias("t")) for i, (text, label) in enumerate(BASE + FURTHER)]
     t = spark.range(1).select(F.inline(F.array(*rows)))
@@ -132,26 +154,41 @@ def _summed(spans: DataFrame) -> DataFrame:
 
 
 def oracle() -> str:
-    """The same scan as SQL over the table ``documents``."""
+    """The same scan as SQL over the table ``documents``, written from the definition of spans."""
     values = ",\n".join(f"({i}, '{label}', {str(i < len(BASE)).lower()}, string_split('{text}', ' '))"
                         for i, (text, label) in enumerate(BASE + FURTHER))
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
     return f"""
-WITH t0(template, label, base, t) AS (VALUES {values}),
+WITH RECURSIVE t0(template, label, base, t) AS (VALUES {values}),
 t AS (SELECT template, label, base, len(t) AS length, unnest(range(len(t) - 1)) AS j, t FROM t0),
 pair AS (SELECT template, label, base, length, j, t[j + 1] AS w1, t[j + 2] AS w2 FROM t),
-d AS (SELECT row_number() OVER () AS rid, doc_id,
+d AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id,
              regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{lower}'), '{WORD}') AS w FROM documents),
 g0 AS (SELECT rid, w, unnest(range(len(w) - 1)) AS i FROM d WHERE len(w) > 1),
 g AS (SELECT rid, i, w[i + 1] AS w1, w[i + 2] AS w2 FROM g0),
-v AS (SELECT rid, template, label, base, length, i - j AS diagonal, count(*) AS votes, min(i) AS a, max(i) AS b
-      FROM g JOIN pair USING (w1, w2) GROUP BY ALL),
-m AS (SELECT *, CASE WHEN base THEN 1 ELSE coalesce((diagonal - lag(diagonal) OVER (PARTITION BY rid, template ORDER BY diagonal) > {GAP})::INT, 1) END AS apart FROM v),
-s AS (SELECT *, sum(apart) OVER (PARTITION BY rid, template ORDER BY diagonal) AS span FROM m),
-p AS (SELECT rid, label, base, length, sum(votes) AS votes, min(a) AS first, max(b) + 1 AS last,
-             least(sum(votes) / (length - 1), 1.0) AS cover FROM s GROUP BY rid, template, label, base, length, span),
-ok AS (SELECT * FROM p WHERE CASE WHEN base THEN votes = length - 1
-       ELSE cover >= {COVER} AND last - first + 1 <= {LONGER} * length + {GAP} END),
+v AS MATERIALIZED (SELECT rid, template, label, base, length, i - j AS diagonal, list(j) AS js,
+             CAST(floor({LONGER - 1} * length + {GAP}) AS BIGINT) AS width FROM g JOIN pair USING (w1, w2) GROUP BY ALL),
+-- diagonals without all votes, in chains of near neighbours
+m AS (SELECT *, coalesce((diagonal - lag(diagonal) OVER w > {GAP})::INT, 1) AS apart FROM v
+      WHERE NOT base AND len(js) < length - 1 WINDOW w AS (PARTITION BY rid, template ORDER BY diagonal)),
+c AS MATERIALIZED (SELECT *, sum(apart) OVER (PARTITION BY rid, template ORDER BY diagonal) AS chain FROM m),
+-- a run starts at each diagonal and is as wide as it may be; those inside the run before are left out
+e AS (SELECT a.rid, a.template, a.label, a.length, a.diagonal, a.chain, max(b.diagonal) AS reach FROM c a JOIN c b
+      ON a.rid = b.rid AND a.template = b.template AND a.chain = b.chain AND b.diagonal BETWEEN a.diagonal AND a.diagonal + a.width GROUP BY ALL),
+run AS (SELECT * FROM e QUALIFY reach IS DISTINCT FROM lag(reach) OVER (PARTITION BY rid, template ORDER BY diagonal)),
+h0 AS (SELECT run.*, c.diagonal AS place, unnest(c.js) AS j FROM run JOIN c
+       ON run.rid = c.rid AND run.template = c.template AND run.chain = c.chain AND c.diagonal BETWEEN run.diagonal AND run.reach),
+h1 AS (SELECT rid, template, label, length, diagonal, list_sort(list({{'i': place + j, 'j': j}})) AS hits FROM h0
+       GROUP BY rid, template, label, length, diagonal HAVING count(DISTINCT j) >= {COVER} * (length - 1)),
+-- the longest rising row of template places: the best that ends at each place, hit by hit
+b AS (SELECT *, 0 AS k, list_transform(range(length - 1), lambda x: 0) AS best FROM h1
+      UNION ALL
+      SELECT rid, template, label, length, diagonal, hits, k + 1, list_transform(best, lambda x, n: CASE WHEN n = hits[k + 1].j + 1
+             THEN greatest(x, 1 + coalesce(list_max(best[1:hits[k + 1].j]), 0)) ELSE x END) FROM b WHERE k < len(hits)),
+ok AS (SELECT rid, label, base, diagonal AS first, 1.0::DOUBLE AS cover FROM v WHERE len(js) = length - 1
+       UNION ALL
+       SELECT rid, label, false, hits[1].i, list_max(best)::DOUBLE / (length - 1) FROM b
+       WHERE k = len(hits) AND list_max(best)::DOUBLE / (length - 1) >= {COVER}),
 r AS (SELECT rid, count(*) FILTER (base) AS n_base, min(first) FILTER (base) AS first_word, max(first) FILTER (base) AS last_word,
              coalesce(array_to_string(list_sort(list_distinct(list(label) FILTER (base))), ','), '') AS base_labels,
              array_to_string(list_sort(list_distinct(list(label))), ',') AS labels, CAST(max(cover) AS DOUBLE) AS score FROM ok GROUP BY rid)

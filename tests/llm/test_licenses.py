@@ -1,6 +1,10 @@
 import random
 import re
 
+import duckdb
+import pandas as pd
+import pytest
+
 from fenloom.llm import licenses
 
 
@@ -13,6 +17,17 @@ def _places(text):
     return len(w), found
 
 
+def _same_as_sql(rows):
+    """Labels and scores of the SQL against the scan word by word."""
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame(rows, columns=["doc_id", "text"]))
+    got = {r[0]: r[1:] for r in con.execute(f"SELECT doc_id, labels, score FROM ({licenses.oracle()})").fetchall()}
+    assert len(got) == len(rows)
+    for doc_id, text in rows:
+        want = _spans(text)
+        assert got[doc_id] == (",".join(sorted({s[2] for s in want})), max((s[3] for s in want), default=0.0)), text
+
+
 def _check(docs, rows):
     got = licenses.scan(docs).collect()
     assert len(got) == len(rows)
@@ -93,6 +108,7 @@ def test_repeated_phrases(spark):
     assert [(got[i]["labels"], got[i]["score"]) for i in range(1, 7)] == [
         ("all-rights-reserved", 1.0), ("", 0.0), ("", 0.0), ("mpl", 1.0), ("", 0.0), ("all-rights-reserved", 1.0)]
     assert [(s["first"], s["last"]) for s in got[1]["spans"]] == [(0, 2), (3, 5), (6, 8)] and len(got[4]["spans"]) == 40
+    _same_as_sql(rows)
 
 
 def test_spans_by_definition(spark):
@@ -119,3 +135,11 @@ def test_spans_by_definition(spark):
         assert row["labels"] == ",".join(sorted({s[2] for s in want}))
         some += any(s[3] < 1 for s in want)
     assert some > 50
+    _same_as_sql(rows)
+
+
+def test_templates_are_checked(spark, monkeypatch):
+    for text in ("a b a b", "one", " ".join(f"w{i}" for i in range(66))):
+        monkeypatch.setattr(licenses, "FURTHER", [(text, "x")])
+        with pytest.raises(ValueError):
+            licenses.templates(spark)
