@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from fenloom.operators import reads as R
 from fenloom.operators import sketches as K
 from fenloom.operators.community import renorm
+from fenloom.operators.similarity import SimilarityJoin
 from fenloom.plans import roles
 from fenloom.plans.registry import query, rnd, with_
 from fenloom.plans.roles import PART_COUNTS, r6, rounded, table
@@ -236,9 +237,9 @@ def z13(spark, sf):
     return rounded(K.sketch_compare(doc_sketches(spark, sf)), "similarity")
 
 
-def doc_similarity(spark, sf):
+def doc_links(spark, sf, threshold):
     docs = table(spark, sf, "documents").select(F.col("doc_id").alias("sketch_id"), F.col("text").alias("seq"))
-    return K.sketch_compare(K.sketch(docs, K_LEN, SCALED, dna=False, method="md5"))
+    return SimilarityJoin(K.sketch(docs, K_LEN, SCALED, dna=False, method="md5"), threshold).edges()
 
 
 @query("z14_dereplicate_genomes", with_(_sketch_sql("sk", "doc_id", "documents"), """n AS (SELECT id, count(*) AS n FROM sk GROUP BY 1)""",
@@ -252,7 +253,7 @@ SELECT component, arg_max(doc_id, score) AS genome, max(score) AS score, count(*
 def z14(spark, sf):
     genomes = table(spark, sf, "documents").select(
         F.col("doc_id").alias("genome"), (F.col("n_chars") - F.col("doc_id") / F.lit(1e6)).alias("score"))
-    return K.dereplicate_genomes(doc_similarity(spark, sf), genomes, 0.5)
+    return K.dereplicate_genomes(doc_links(spark, sf, 0.5), genomes, 0.5)
 
 
 @query("z15_consensus_bins")
