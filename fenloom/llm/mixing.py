@@ -6,8 +6,9 @@ the highest quotients ``votes / (2 s - 1)``. A shard with q seats over n blocks
 ``q // n`` times and, in seeded order, the first ``q % n`` once more. Words of a document that
 lie in a block are taken as often as the block is.
 
-Ids, not partitions, decide everything, so reruns agree. Null text has size 0 and takes nothing,
-null sources are one source that sorts last, and rows repeated with one id are drawn one by one.
+Ids and texts, not partitions, decide everything, so reruns agree. Null text has size 0 and takes
+nothing, null sources are one source that sorts last, and rows repeated with one id, or without any, are
+drawn one by one and spread over shards by their texts; only rows equal in both stay in one shard.
 The table of sources passes through one window; shards through one window per source, a row for
 every ``shard_words`` words.
 """
@@ -23,12 +24,14 @@ WORDS = r"[^\x20\x09-\x0D]+"
 
 
 def sized(docs: DataFrame, id_col: str, source_col: str, text_col: str) -> DataFrame:
-    """(rid, row, id, source, size), the size being the number of words."""
+    """(rid, row, id, name, source, size): the name tells rows apart, the size is the number of words."""
     row = F.col("row")
+    text = text_of(row.getField(text_col))
     return packed(docs).select(
         F.monotonically_increasing_id().alias("rid"), "row", row.getField(id_col).alias("id"),
+        F.concat(F.coalesce(row.getField(id_col).cast("string"), F.lit("null")), F.lit("|"), F.md5(text)).alias("name"),
         row.getField(source_col).cast("string").alias("source"),
-        F.regexp_count(text_of(row.getField(text_col)), F.lit(WORDS)).cast("long").alias("size"))
+        F.regexp_count(text, F.lit(WORDS)).cast("long").alias("size"))
 
 
 def targets(docs: DataFrame, weights: list[float], share: float, most: float) -> DataFrame:
@@ -103,7 +106,7 @@ class Mix:
             F.lit(1), F.ceil(F.col("source_size") / shard_words), F.ceil(F.col("n_rows") / shard_rows))), "sources")
         s = sources.withColumnRenamed("source", "_source")
         docs = docs.join(s, docs["source"].eqNullSafe(s["_source"])).drop("_source")
-        docs = docs.withColumn("shard", F.conv(F.substring(self._seeded("shard", _name()), 1, 8), 16, 10).cast("long") % F.col("n_shards"))
+        docs = docs.withColumn("shard", F.conv(F.substring(self._seeded("shard", F.col("name")), 1, 8), 16, 10).cast("long") % F.col("n_shards"))
         # null sources need a key that equals itself in joins and windows
         docs = docs.withColumn("sk", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")))
         shards = docs.groupBy("sk", "unit", "source_quota", "shard").agg(F.sum("size").alias("shard_size")).filter("shard_size > 0")
@@ -136,8 +139,8 @@ class Mix:
     def _taken(self, docs: DataFrame, shards: DataFrame) -> DataFrame:
         """Places documents in the streams of their shards and counts the words the blocks take."""
         order = Window.partitionBy("sk", "shard").orderBy("place", "id", "rid")
-        placed = docs.withColumn("place", self._seeded("order", _name())).withColumn(
-            "start", F.sum("size").over(order) - F.col("size")).drop("place")
+        placed = docs.withColumn("place", self._seeded("order", F.col("name"))).withColumn(
+            "start", F.sum("size").over(order) - F.col("size")).drop("place", "name")
         placed = placed.join(shards, ["sk", "shard"], "left")
 
         def chosen_before(rows: DataFrame, place: Column, out: str) -> DataFrame:
@@ -177,10 +180,6 @@ class Mix:
         return unpacked(whole.unionByName(some), names)
 
 
-def _name() -> Column:
-    return F.coalesce(F.col("id").cast("string"), F.lit("null"))
-
-
 def _block_of(place: Column) -> Column:
     return F.floor(((place + 1) * F.col("n_blocks") - 1) / F.col("shard_size")).cast("long")
 
@@ -204,9 +203,8 @@ def oracle() -> str:
     def seeded(what: str, key: str) -> str:
         return f"md5(concat('7|{what}|', {key}))"
 
-    name = "coalesce(doc_id::VARCHAR, 'null')"
     return f"""
-WITH d0 AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORDS}'))::BIGINT AS size FROM documents),
+WITH d0 AS (SELECT doc_id, source, concat(coalesce(doc_id::VARCHAR, 'null'), '|', md5(coalesce(text, ''))) AS name, len(regexp_extract_all(coalesce(text, ''), '{WORDS}'))::BIGINT AS size FROM documents),
 s0 AS (SELECT source, sum(size)::BIGINT AS source_size, count(*) AS n_rows FROM d0 GROUP BY 1),
 s1 AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS place FROM s0),
 s2 AS (SELECT *, [5.0::DOUBLE, 2.0::DOUBLE, 1.0::DOUBLE][place % 3 + 1] AS weight FROM s1),
@@ -220,14 +218,14 @@ s7 AS (SELECT *, round(sum(target) OVER (PARTITION BY unit) / unit)::BIGINT AS s
 src AS (SELECT s6.*, coalesce(quota, 0) AS seats, greatest(1, ceil(s6.source_size / 1000000), ceil(s6.n_rows / 20000))::BIGINT AS n_shards
   FROM s6 LEFT JOIN sq ON s6.source IS NOT DISTINCT FROM sq.source),
 d AS (SELECT d0.*, source_size, target, unit, seats, coalesce(concat('s', d0.source), 'n') AS sk,
-  ('0x' || substr({seeded('shard', name)}, 1, 8))::BIGINT % n_shards AS shard FROM d0 JOIN src ON d0.source IS NOT DISTINCT FROM src.source),
+  ('0x' || substr({seeded('shard', 'd0.name')}, 1, 8))::BIGINT % n_shards AS shard FROM d0 JOIN src ON d0.source IS NOT DISTINCT FROM src.source),
 h0 AS (SELECT sk, unit, seats, shard, sum(size)::BIGINT AS shard_size FROM d GROUP BY ALL),
 h1 AS (SELECT *, greatest(1, round(shard_size / unit))::BIGINT AS n_blocks FROM h0 WHERE shard_size > 0),
 {quotas('hq', 'h1', 'sk', 'sk, shard', 'shard_size', '2 * n_blocks')},
 b0 AS (SELECT sk, shard, shard_size, n_blocks, quota // n_blocks AS passes, quota % n_blocks AS extra, unnest(range(n_blocks)) AS block FROM hq),
 b1 AS (SELECT *, floor(block * shard_size / n_blocks)::BIGINT AS a, floor((block + 1) * shard_size / n_blocks)::BIGINT AS e,
   row_number() OVER (PARTITION BY sk, shard ORDER BY {seeded('block', "concat_ws('|', sk, shard, block)")}, block) <= extra AS chosen FROM b0),
-p AS (SELECT *, sum(size) OVER (PARTITION BY sk, shard ORDER BY {seeded('order', name)}, doc_id ROWS UNBOUNDED PRECEDING) - size AS start FROM d),
+p AS (SELECT *, sum(size) OVER (PARTITION BY sk, shard ORDER BY {seeded('order', 'name')}, doc_id ROWS UNBOUNDED PRECEDING) - size AS start FROM d),
 x AS (SELECT doc_id, sk, shard, sum(least(e, start + size) - greatest(a, start)) AS more FROM p JOIN b1 USING (sk, shard)
   WHERE chosen AND a < start + size AND e > start GROUP BY ALL)
 SELECT p.doc_id, p.size, p.source_size, p.target, p.source,

@@ -65,6 +65,18 @@ def test_mix_and_its_documents(spark, odd_docs):
     assert {x["id"]: x["taken"] for x in again.collect()} == {i: x["taken"] for i, x in got.items()}
 
 
+def test_repeated_ids_are_spread(spark):
+    rows = [(None if i % 2 else i % 7, f"text {i} " + "x " * (i % 5), "a") for i in range(6000)]
+    spool = cut_lineage(mixing.sized(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5), "doc_id", "source", "text"))
+    m = mixing.Mix(spool.drop("row"), shard_rows=200, block_words=4)
+    assert m.rows.groupBy("shard").count().agg(F.max("count"), F.count("*")).first()[0] < 400
+
+    def by_text(mix):
+        return {x["text"]: x["taken"] for x in spool.select("rid", "row.text").join(mix.rows.select("rid", "taken"), "rid").collect()}
+
+    assert by_text(m) == by_text(mixing.Mix(spool.drop("row").repartition(3), shard_rows=200, block_words=4))
+
+
 def test_odd_rows(odd_docs):
     spool = cut_lineage(mixing.sized(odd_docs, "doc_id", "source", "text"))
     m = mixing.Mix(spool.drop("row"))
