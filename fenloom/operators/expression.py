@@ -29,17 +29,6 @@ def prep_tpm(tpm: DataFrame, min_length: int = 500, suffix: str = r"\.aligned",
     )
 
 
-def complete(counts: DataFrame) -> DataFrame:
-    """Every feature in every sample, absent ones 0: each feature carries the sample list
-    (one entry per sample) and unrolls it, so no cross join is planned."""
-    every = counts.agg(F.sort_array(F.collect_set("sample_id"))).scalar()
-    per = counts.groupBy("feature_id").agg(
-        F.map_from_entries(F.collect_list(F.struct("sample_id", "abundance"))).alias("_m"))
-    return per.select("feature_id", "_m", F.explode(every).alias("sample_id")).select(
-        "sample_id", "feature_id",
-        F.coalesce(F.try_element_at("_m", F.col("sample_id")), F.lit(0)).cast("double").alias("abundance"))
-
-
 # ---- normalisation -------------------------------------------------------------------------
 
 
@@ -92,26 +81,47 @@ def tmm_factors(counts: DataFrame, trim_m: float = 0.3, trim_a: float = 0.05) ->
     return out.select("sample_id", "total", F.pow(F.lit(2.0), F.col("log_f") - centre).alias("factor"))
 
 
-def log_cpm(counts: DataFrame, factors: DataFrame) -> DataFrame:
-    """Dense log2 counts per million of the effective library size."""
-    eff = factors.select("sample_id", (F.col("total") * F.col("factor") + 1).alias("eff"))
-    return complete(counts).join(eff, "sample_id").withColumn(
-        "e", F.log2((F.col("abundance") + 0.5) / F.col("eff") * 1e6))
+def log_cpm(abundance, eff) -> Column:
+    """log2 counts per million of the effective library size."""
+    return F.log2((F.coalesce(abundance, F.lit(0)).cast("double") + 0.5) / eff * 1e6)
+
+
+def group_moments(counts: DataFrame, sheet: DataFrame) -> DataFrame:
+    """(feature_id, group, n, m, v): mean and variance of log counts per million over all samples of a group.
+
+    ``sheet`` has (sample_id, group, eff). A count of zero gives a value that depends on its sample
+    alone, so the sums over a whole group of zeros are known once, and only the counts that are
+    there are shuffled, as differences from them. Values are centred on the group's zeros.
+    """
+    zero = log_cpm(F.lit(None), F.col("eff"))
+    groups = sheet.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.avg(zero).alias("centre"))
+    sheet = cut_lineage(sheet.join(groups, "group").withColumn("dz", zero - F.col("centre")))
+    levels = sheet.groupBy("group", "n", "centre").agg(F.sum(F.col("dz") * F.col("dz")).alias("zz")).agg(
+        F.collect_list(F.struct("group", "n", "centre", "zz"))).scalar()  # a row per level of the factor
+    d = log_cpm(F.col("abundance"), F.col("eff")) - F.col("centre")
+    # features of other samples alone come through with a null group
+    seen = counts.join(sheet.select("sample_id", "group", "eff", "centre", "dz"), "sample_id", "left").groupBy("feature_id", "group").agg(
+        F.sum(d - F.col("dz")).alias("s"), F.sum(d * d - F.col("dz") * F.col("dz")).alias("ss"))
+    seen = cut_lineage(seen)
+    every = seen.select("feature_id").distinct().select("feature_id", F.inline(levels))
+    s, n = F.coalesce("s", F.lit(0.0)), F.col("n")
+    left = F.greatest(F.col("zz") + F.coalesce("ss", F.lit(0.0)) - s * s / n, F.lit(0.0))
+    return every.join(seen, ["feature_id", "group"], "left").select(
+        "feature_id", "group", "n", (F.col("centre") + s / n).alias("m"), F.when(n > 1, left / (n - 1)).alias("v"))
 
 
 def voom(counts: DataFrame, factors: DataFrame, samples: DataFrame, factor: str, bins: int = 20) -> DataFrame:
-    """log-CPM with precision weights.
+    """log-CPM with precision weights, a row for every feature in every sample that has a level.
 
     The trend of sqrt(residual sd) on mean log count is taken as means over equal-sized
     bins of features, joined by straight lines and flat beyond the ends; a weight is the
     trend at the fitted log count to the power -4.
     """
-    sheet = samples.select("sample_id", F.col(factor).alias("group"))
     factors = cut_lineage(factors)  # a row per sample
-    e = cut_lineage(log_cpm(counts, factors).join(sheet, "sample_id"))
-    fit = e.groupBy("feature_id", "group").agg(F.count(F.lit(1)).alias("n"), F.avg("e").alias("m"),
-                                               F.var_samp("e").alias("v"))
-    fit = cut_lineage(fit)
+    sheet = cut_lineage(factors.select("sample_id", (F.col("total") * F.col("factor") + 1).alias("eff")).join(
+        samples.select("sample_id", F.col(factor).alias("group")), "sample_id").filter("group IS NOT NULL"))
+    counts = counts.select("sample_id", "feature_id", "abundance")
+    fit = cut_lineage(group_moments(counts, sheet))
     per = fit.groupBy("feature_id").agg(
         F.sum("n").alias("n"), (F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("mean"),
         F.sqrt(F.sum((F.col("n") - 1) * F.coalesce("v", F.lit(0.0))) / (F.sum("n") - F.count("group"))).alias("sd"))
@@ -132,8 +142,9 @@ def voom(counts: DataFrame, factors: DataFrame, samples: DataFrame, factor: str,
         if x1 > x0:
             trend = trend.when(at <= x1, F.lit(y0) + (at - x0) * F.lit((y1 - y0) / (x1 - x0)))
     trend = trend.otherwise(F.lit(ys[-1]))
-    return e.join(fit.select("feature_id", "group", "m"), ["feature_id", "group"]).select(
-        "feature_id", "sample_id", "group", "e", F.pow(trend, F.lit(-4.0)).alias("weight"))
+    cells = fit.select("feature_id", "group", "m").join(sheet, "group").join(counts, ["feature_id", "sample_id"], "left")
+    return cells.select("feature_id", "sample_id", "group", log_cpm(F.col("abundance"), F.col("eff")).alias("e"),
+                        F.pow(trend, F.lit(-4.0)).alias("weight"))
 
 
 # ---- contrasts and moderated t ------------------------------------------------------------
