@@ -186,6 +186,55 @@ def classify(seqs: DataFrame, model: tuple[DataFrame, DataFrame], k: int) -> Dat
     return best.select("seq_id", F.col("b.label").alias("label"), (1 / post).alias("confidence"))
 
 
+def lineage_prefixes(lineage: Column, sep: str = ";") -> Column:
+    """The lineage cut at every rank, from the empty one (rank 0) to the whole."""
+    parts = F.split(lineage, sep)
+    return F.transform(F.sequence(F.lit(0), F.size(parts)), lambda n: F.struct(
+        n.alias("rank"), F.array_join(F.slice(parts, F.lit(1), n), sep).alias("lineage")))
+
+
+def classify_lineages(seqs: DataFrame, model: tuple[DataFrame, DataFrame], k: int, cutoff: float = 0.7, sep: str = ";") -> DataFrame:
+    """(seq_id, rank, lineage, confidence): the lineage of the most probable class, as deep as it is sure.
+
+    Labels of the ``model`` are lineages. The confidence at a rank is the posterior of all classes
+    below it; the deepest rank with at least ``cutoff`` is kept, rank 0 being the empty lineage.
+    A class that shares no k-mer with a sequence scores by the sequence's length alone, so those are
+    added once for each length; only classes that share one are listed for a sequence. Sequences
+    shorter than ``k`` have no k-mer and no row.
+    """
+    words, sizes = model
+    total = sizes.agg(F.sum("docs")).scalar()
+    query = cut_lineage(kmer_rows(seqs.select("seq_id", "seq"), "seq", k).groupBy("seq_id", "kmer").agg(F.count(F.lit(1)).alias("n")))
+    lengths = cut_lineage(query.groupBy("seq_id").agg(F.sum("n").alias("len")))
+    classes = sizes.select("label", F.log(F.col("words") + F.col("vocabulary")).alias("per_word"), F.log(F.col("docs") / total).alias("prior"))
+    base = F.col("prior") - F.col("len") * F.col("per_word")
+    # distinct lengths: as many as the longest sequence allows, however many sequences there are
+    lens = lengths.agg(F.collect_set("len")).scalar()
+    alone = cut_lineage(spread(classes, "label").select("*", F.explode(lens).alias("len")).select("label", "len", base.alias("base")))
+    top = cut_lineage(alone.groupBy("len").agg(F.max(F.struct(F.col("base").alias("score"), "label")).alias("top")))
+    mass = alone.join(top, "len").select("len", F.exp(F.col("base") - F.col("top.score")).alias("p"), F.explode(
+        lineage_prefixes(F.col("label"), sep)).alias("at")).groupBy("len", "at.lineage").agg(F.sum("p").alias("mass"))
+    hits = query.join(words, "kmer").groupBy("seq_id", "label").agg(F.sum(F.col("n") * F.log(F.col("c") + 1)).alias("s"))
+    hits = cut_lineage(hits.join(lengths, "seq_id").join(classes, "label").select("seq_id", "label", "s", (base + F.col("s")).alias("score")))
+    best = lengths.join(hits.groupBy("seq_id").agg(F.max(F.struct("score", "label")).alias("b")), "seq_id", "left").join(top, "len")
+    best = cut_lineage(best.withColumn("b", F.greatest("b", "top")).select(
+        "seq_id", "len", F.col("b.score").alias("most"), F.col("top.score").alias("top"),
+        lineage_prefixes(F.col("b.label"), sep).alias("path")))
+    # what a hit adds to its class's score without hits, at the ranks it shares with the best class
+    more = hits.join(best.select("seq_id", "most", "path"), "seq_id").select(
+        "seq_id", (F.exp(F.col("score") - F.col("most")) * (1 - F.exp(-F.col("s")))).alias("p"),
+        F.explode(F.array_intersect("path", lineage_prefixes(F.col("label"), sep))).alias("at"))
+    more = more.groupBy("seq_id", "at.lineage").agg(F.sum("p").alias("more"))
+    path = best.select("seq_id", "len", F.exp(F.col("top") - F.col("most")).alias("scale"), F.inline("path"))
+    path = path.join(mass, ["len", "lineage"]).join(more, ["seq_id", "lineage"], "left").select(
+        "seq_id", "rank", "lineage", (F.col("mass") * F.col("scale") + F.coalesce("more", F.lit(0.0))).alias("p"))
+    whole = path.filter("rank = 0").select("seq_id", F.col("p").alias("whole"))
+    sure = path.join(whole, "seq_id").withColumn("confidence", F.col("p") / F.col("whole")).filter(
+        (F.col("confidence") >= cutoff) | (F.col("rank") == 0))
+    deepest = sure.groupBy("seq_id").agg(F.max(F.struct("rank", "lineage", "confidence")).alias("d"))
+    return deepest.select("seq_id", "d.rank", "d.lineage", "d.confidence")
+
+
 # ---- contigs --------------------------------------------------------------------------------
 
 

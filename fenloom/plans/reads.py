@@ -119,6 +119,31 @@ def z7(spark, sf):
     return rounded(R.classify(seqs, model, 5), "confidence")
 
 
+@query("z7_classify_ranks", f"""
+WITH d AS (SELECT lang || ';' || source AS lineage, text FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL),
+km AS {_kmer_sql('lineage', 'd', 5)},
+w AS (SELECT lineage, kmer, count(*) AS c FROM km GROUP BY 1, 2),
+sz AS (SELECT lineage, sum(c) AS words, any_value(docs) AS docs FROM w JOIN (SELECT lineage, count(*) AS docs FROM d GROUP BY 1) USING (lineage) GROUP BY 1),
+v AS (SELECT count(DISTINCT kmer) AS v FROM w),
+qk AS (SELECT item_id, kmer, count(*) AS n FROM {_kmer_sql('item_id', 'benchmark', 5)} GROUP BY 1, 2),
+ln AS (SELECT item_id, sum(n) AS len FROM qk GROUP BY 1),
+hit AS (SELECT item_id, lineage, sum(n * ln(c + 1)) AS s FROM qk JOIN w USING (kmer) GROUP BY 1, 2),
+sc AS (SELECT item_id, sz.lineage, coalesce(s, 0) - len * ln(words + v) + ln(docs / (SELECT sum(docs) FROM sz)) AS score
+  FROM ln CROSS JOIN sz CROSS JOIN v LEFT JOIN hit USING (item_id, lineage)),
+mx AS (SELECT *, exp(score - max(score) OVER o) AS p, first_value(lineage) OVER (o ORDER BY score DESC, lineage DESC) AS best FROM sc WINDOW o AS (PARTITION BY item_id)),
+lv AS (SELECT item_id, lineage, p, unnest([0, 1, 2]) AS rank, [best, split_part(best, ';', 1)] AS b FROM mx),
+ranks AS (SELECT item_id, rank, CASE rank WHEN 0 THEN '' WHEN 1 THEN any_value(b[2]) ELSE any_value(b[1]) END AS lineage,
+  sum(CASE WHEN rank = 0 OR rank = 1 AND split_part(lineage, ';', 1) = b[2] OR rank = 2 AND lineage = b[1] THEN p ELSE 0 END) / sum(p) AS confidence
+  FROM lv GROUP BY item_id, rank)
+SELECT item_id AS seq_id, rank, lineage, round(confidence, 6) AS confidence FROM ranks WHERE confidence >= 0.7 OR rank = 0
+QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY rank DESC) = 1""")
+def z7_ranks(spark, sf):
+    docs = table(spark, sf, "documents").filter("lang IS NOT NULL AND source IS NOT NULL").select(
+        F.concat_ws(";", "lang", "source").alias("lineage"), F.col("text").alias("seq"))
+    seqs = table(spark, sf, "benchmark").select(F.col("item_id").alias("seq_id"), F.col("text").alias("seq"))
+    return rounded(R.classify_lineages(seqs, R.train_classifier(docs, "lineage", 5), 5, 0.7), "confidence")
+
+
 # ---- sketches ------------------------------------------------------------------------------------
 
 SCALED = 20
