@@ -61,6 +61,22 @@ def test_headers_count(spark, tmp_path):
         L.read_many(spark, f"{tmp_path}/*/*.csv", "a int, z int")
 
 
+def test_headers_of_many_files(spark, tmp_path, tiny_splits):
+    rows = []
+    for i in range(30):
+        names = [["a", "b"], ["b", "a"], ["c", "b", "a"]][i % 3]
+        lines = [{"a": i, "b": j, "c": 9} for j in range(50)]  # several splits each
+        rows += [(f"f {i}%20", i, j) for j in range(50)]
+        _put(tmp_path / f"f {i}%20" / "t.csv", "\n".join([",".join(names), *(",".join(str(x[n]) for n in names) for x in lines)]) + "\n")
+    _put(tmp_path / "none" / "t.csv", "")
+    tracker, group = spark.sparkContext.statusTracker(), "headers"
+    spark.sparkContext.setJobGroup(group, group)
+    got = L.read_many(spark, f"{tmp_path}/*/*.csv", "a int, b int", pattern=r"([^/]+)/[^/]*$")
+    assert len(tracker.getJobIdsForGroup(group)) < 15
+    assert sorted((r.a, r.b) for r in got.collect()) == sorted(r[1:] for r in rows) and got.select("file").distinct().count() == 30
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
 def test_tails_after_a_call_on_the_driver(spark):
     from fenloom.functions import tails
 
