@@ -214,7 +214,7 @@ LINEAGE = """lin AS (SELECT item_id AS ref_id, concat('d__', length(text) % 2, '
 
 
 def gathered(spark, sf):
-    return K.gather(doc_sketches(spark, sf), ref_sketches(spark, sf), THRESHOLD, SCALED)
+    return K.gather(doc_sketches(spark, sf), ref_sketches(spark, sf), THRESHOLD * SCALED, SCALED)
 
 
 def lineages(spark, sf):
@@ -227,7 +227,7 @@ def lineages(spark, sf):
 SELECT sketch_id, rank, ref_id, unique_intersect_bp, {rnd('average_abund')} AS average_abund, n_unique_weighted_found,
   {rnd('f_unique')} AS f_unique, {rnd('f_weighted')} AS f_weighted FROM go"""))
 def z9(spark, sf):
-    return rounded(gathered(spark, sf), "average_abund", "f_unique", "f_weighted")
+    return rounded(gathered(spark, sf).drop("round"), "average_abund", "f_unique", "f_weighted")
 
 
 @query("z10_annotate_matches", with_(*_gather_sql(), GATHER_OUT, LINEAGE, body="""
