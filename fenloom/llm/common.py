@@ -88,6 +88,13 @@ def small_batches(spark: SparkSession, rows: int = 500) -> None:
         spark.conf.set(key, str(rows))
 
 
+def utf8_parts(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Where each text starts, with the end of the last, and the bytes; offsets have 64 bits in large strings."""
+    width = np.int64 if pa.types.is_large_string(texts.type) else np.int32
+    starts = np.frombuffer(texts.buffers()[1], width)[texts.offset: texts.offset + len(texts) + 1].astype(np.int64)
+    return starts, np.frombuffer(texts.buffers()[2], np.uint8) if texts.buffers()[2] else np.zeros(0, np.uint8)
+
+
 def once(key: tuple, make: Callable[[], Any]) -> Any:
     """What ``make`` returns, made once in each Python process.
 

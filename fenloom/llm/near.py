@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from fenloom.llm.common import by_tile, chosen, chunked, components, in_blocks, packed, roots, small_batches, text_of, unpacked
+from fenloom.llm.common import by_tile, chosen, chunked, components, in_blocks, packed, roots, small_batches, text_of, unpacked, utf8_parts
 from fenloom.session import cut_lineage
 
 FLOOR, FLAT = 12, 4  # rank slabs: [0, 2**-12), doubled up to 2**-4, then all of that length
@@ -235,8 +235,7 @@ def _signer(k: int, rows: int, size: int, seed: int, per_call: int = 1 << 20):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             text = b.column("text")
-            starts = np.frombuffer(text.buffers()[1], np.int32)[text.offset: text.offset + len(text) + 1].astype(np.int64)
-            data = np.frombuffer(text.buffers()[2], np.uint8) if text.buffers()[2] else np.zeros(0, np.uint8)
+            starts, data = utf8_parts(text)
             lo = 0
             while lo < b.num_rows:
                 hi = max(lo + 1, int(np.searchsorted(starts, starts[lo] + per_call, "right")) - 1)

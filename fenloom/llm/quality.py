@@ -20,7 +20,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from fenloom.llm.common import held_out, packed, small_batches, text_of
+from fenloom.llm.common import held_out, packed, small_batches, text_of, utf8_parts
 from fenloom.llm.near import word_hashes
 
 _B = np.arange(256)
@@ -88,8 +88,7 @@ def statistics(text: Column) -> Column:
 
     @F.arrow_udf("struct<" + ", ".join(f"{k}: double" for k in STATISTICS) + ">")
     def of(texts: pa.Array) -> pa.Array:
-        starts = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset: texts.offset + len(texts) + 1].astype(np.int64)
-        data = np.frombuffer(texts.buffers()[2], np.uint8) if texts.buffers()[2] else np.zeros(0, np.uint8)
+        starts, data = utf8_parts(texts)
         parts, lo = [], 0
         while lo < len(texts):  # about a MB at a time
             hi = max(lo + 1, int(np.searchsorted(starts, starts[lo] + (1 << 20), "right")) - 1)

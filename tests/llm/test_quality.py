@@ -1,8 +1,10 @@
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from fenloom.llm import quality
+from fenloom.llm.common import utf8_parts
 
 SF = "/root/testdata/sf0.01"
 
@@ -19,6 +21,13 @@ def test_held_out_labels_and_compiled_rules(spark):
     assert np.allclose(model.score(x.loc[mine.index]), mine)
 
 
+def test_large_strings():
+    texts = ["Ab é", "", "xyz"]
+    for kind in (pa.string(), pa.large_string()):
+        starts, data = utf8_parts(pa.array(["cut off", *texts], kind)[1:])
+        assert [bytes(data[a:b]).decode() for a, b in zip(starts, starts[1:])] == texts
+
+
 def test_statistics():
     texts = ["Ab, cd. AB, x\nAb, cd. AB, x", "", "é É!! | 12", " \n "]
     raw = [t.encode() for t in texts]
