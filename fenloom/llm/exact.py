@@ -17,7 +17,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from fenloom.llm.common import GAP, packed, text_of, unpacked
+from fenloom.llm.common import GAP, chosen, packed, text_of, unpacked
 from fenloom.session import cut_lineage, scratch_path
 
 
@@ -141,7 +141,7 @@ class ExactDedup:
         # bucketed by chunk, so that a bitmap comes back to its rows without moving them
         self.table = f"exact_{uuid.uuid4().hex}"
         rows.write.bucketBy(chunks, "chunk").option("path", scratch_path(spark, "exact")).saveAsTable(self.table)
-        spool = spark.table(self.table)
+        self.spool = spool = spark.table(self.table)
         n = spool.count()
         owners = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n / owner_rows, 1)
         owner_bits = min(bits, math.ceil(math.log2(owners)))
@@ -171,8 +171,7 @@ class ExactDedup:
         return alone.select(cols).unionByName(grouped.select(cols))
 
     def kept(self) -> DataFrame:
-        """The rows that stay, with the columns they came with."""
+        """The rows that stay, with the columns they came with; they are picked where they lie."""
         alone = self.rows.filter("not suspect").select("row")
-        first = self.rows.filter("suspect").select("rid", "row").join(
-            self.classes.select(F.col("keep_rid").alias("rid")), "rid", "left_semi").select("row")
+        first = chosen(self.spool.select("rid", "chunk", "row"), self.classes.select(F.col("keep_rid").alias("rid"))).select("row")
         return unpacked(alone.unionByName(first), self.names)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 
 import pandas as pd
 from pyspark.sql import SparkSession
@@ -79,3 +80,9 @@ def compare(got: pd.DataFrame, want: pd.DataFrame) -> str | None:
         return (f"{len(diff)} rows differ; cols {cols}; only spark {sorted(sa - sb, key=repr)[:3]}; "
                 f"only sql {sorted(sb - sa, key=repr)[:3]}")
     return None
+
+
+def moved_columns(df) -> list[str]:
+    """The columns that go into each shuffle of a plan."""
+    plan = df._sc._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+    return re.findall(r"^\(\d+\) Exchange *\nInput \[\d+\]: (.*)$", plan, re.M)

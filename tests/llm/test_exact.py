@@ -4,6 +4,7 @@ import numpy as np
 from hypothesis import given, settings, strategies as st
 
 from fenloom.llm import exact
+from tests.compare import moved_columns
 
 
 @settings(max_examples=60, deadline=None)
@@ -47,3 +48,17 @@ def test_colliding_fingerprints_change_nothing(odd_docs):
 def test_empty(no_docs):
     run = exact.ExactDedup(no_docs)
     assert run.report().count() == 0 and run.kept().count() == 0
+
+
+def test_rows_that_stay_do_not_move(spark, odd_docs):
+    """Without a broadcast too: a join by row number was pushed below the bitmaps and shuffled every row."""
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    try:
+        run = exact.ExactDedup(odd_docs)
+        kept = run.kept()
+        assert moved_columns(kept) and not [c for c in moved_columns(kept) if "row#" in c]
+        assert kept.count() == _want(odd_docs.collect())[1]
+    finally:
+        spark.conf.set(key, before)
