@@ -18,7 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from fenloom.llm import exact, langid, mixing, near, pieces
-from fenloom.session import cut_lineage, drop_scratch, scratch_group, scratch_path, shared_dir
+from fenloom.llm.common import chunked
+from fenloom.session import drop_scratch, scratch_group, scratch_path, shared_dir
 
 
 def _returned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -72,15 +73,16 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates one stays."""
     return_memory(spark)
-    return near.NearDuplicates(docs, keep_rows=True).kept()
+    kept = near.NearDuplicates(docs, keep_rows=True).kept()
+    return_memory(spark)  # here, as the next stage is to run no Python
+    return kept
 
 
 @stage
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as the mix takes them: repeated, left out, or cut at the edges of blocks."""
-    return_memory(spark)
-    spool = cut_lineage(mixing.sized(docs, "doc_id", "source", "text"), "sizes")
-    taken = mixing.Mix(spool.drop("row")).take(spool, "text", docs.columns)
+    spool = chunked(mixing.sized(docs, "doc_id", "source", "text"), docs.rdd.getNumPartitions(), "sizes")
+    taken = mixing.Mix(spool.drop("row", "chunk")).take(spool, "text", docs.columns)
     return taken.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else taken
 
 

@@ -21,6 +21,7 @@ from fenloom.llm.common import GAP, packed, text_of, unpacked
 from fenloom.session import cut_lineage, spread
 
 WORDS = r"[^\x20\x09-\x0D]+"
+RUN = 1 << 14
 
 
 def sized(docs: DataFrame, id_col: str, source_col: str, text_col: str) -> DataFrame:
@@ -159,25 +160,51 @@ class Mix:
         """The mixed documents themselves: as many whole copies as taken, and for a document cut
         by a block's edge one more row with the words inside the chosen blocks, spacing kept.
 
-        ``spool`` is :func:`sized` as written; columns of the documents are ``names``.
+        ``spool`` is :func:`sized` as written by ``chunked``: what is taken comes to the chunks as arrays
+        over ``RUN`` places of a chunk, so that texts are read once and do not move.
+        Columns of the documents are ``names``.
         """
-        got = cut_lineage(self.rows.filter("taken > 0").select("rid", "sk", "shard", "start", "size", "taken", "n_blocks", "shard_size"), "taken")
+        got = cut_lineage(self.rows.select("rid", "sk", "shard", "start", "size", "taken", "n_blocks", "shard_size"), "taken")
         part = F.col("taken") % F.col("size")
         last = _block_of(F.col("start") + F.col("size") - 1)
-        cut = got.filter(part > 0).select("*", F.explode(F.sequence(_block_of(F.col("start")), last)).alias("block"))
+        cut = got.filter((F.col("taken") > 0) & (part > 0)).select("*", F.explode(F.sequence(_block_of(F.col("start")), last)).alias("block"))
         cut = cut.join(self.blocks.filter("chosen = 1").select("sk", "shard", "block", "block_start", "block_end"), ["sk", "shard", "block"])
         cut = cut.select("rid", F.greatest(F.col("block_start") - F.col("start"), F.lit(0)).alias("a"),
                          F.least(F.col("block_end") - F.col("start"), F.col("size")).alias("b"))
         cut = cut.groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("spans"))
-        rows = spool.select("rid", "row").join(
-            got.select("rid", F.floor(F.col("taken") / F.col("size")).cast("int").alias("copies")), "rid").join(cut, "rid", "left")
-        text = F.col("row").getField(text_col)
-        words = F.regexp_extract_all(text, F.lit(f"({WORDS}{GAP[:-1]}*)"), F.lit(1))
-        inside = F.flatten(F.transform("spans", lambda s: F.slice("words", (s["a"] + 1).cast("int"), (s["b"] - s["a"]).cast("int"))))
-        whole = rows.filter("copies > 0").select(F.explode(F.array_repeat("row", F.col("copies"))).alias("row"))
-        some = rows.filter("spans IS NOT NULL").withColumn("words", words).select(
-            F.col("row").withField(f"`{text_col}`", F.rtrim(F.array_join(inside, ""))).alias("row"))
-        return unpacked(whole.unionByName(some), names)
+        # every row has an entry, so that its place in the array is its place in the chunk
+        copies = F.when(F.col("taken") > 0, F.floor(F.col("taken") / F.col("size"))).otherwise(0).cast("int").alias("copies")
+        picks = got.select("rid", copies).join(cut, "rid", "left").groupBy(
+            _chunk("rid").alias("_chunk"), F.floor(_place("rid") / RUN).alias("_run")).agg(
+            F.sort_array(F.collect_list(F.struct("rid", "copies", "spans"))).alias("_picks"))
+        rows = spool.select("row", "rid", F.col("chunk") if "chunk" in spool.columns else _chunk("rid").alias("chunk"))
+        low = F.col("_run") * RUN  # a range, as a second key would have the rows shuffled
+        rows = rows.join(picks.hint("shuffle_hash"), (F.col("chunk") == F.col("_chunk")) & (_place("rid") >= low) & (_place("rid") < low + RUN))
+        pick = F.get("_picks", F.pmod(_place("rid"), F.lit(RUN)).cast("int"))
+        rows = rows.select("row", pick["copies"].alias("copies"), pick["spans"].alias("spans")).filter("copies > 0 OR spans IS NOT NULL")
+        some = F.when(F.col("spans").isNotNull(), F.array(F.col("row").withField(
+            f"`{text_col}`", _inside(F.col("row").getField(text_col), F.col("spans"))))).otherwise(F.array())
+        return unpacked(rows.select(F.explode(F.concat(F.array_repeat("row", F.col("copies")), some)).alias("row")), names)
+
+
+def _chunk(rid: str) -> Column:
+    return F.shiftright(rid, 33)
+
+
+def _place(rid: str) -> Column:
+    return F.col(rid).bitwiseAND((1 << 33) - 1)
+
+
+def _inside(text: Column, spans: Column) -> Column:
+    """The words of a text that lie in its spans, spacing kept."""
+    words = F.regexp_extract_all(text, F.lit(f"({WORDS}{GAP[:-1]}*)"), F.lit(1))
+
+    def joined(w: Column) -> Column:
+        return F.array_join(F.flatten(F.transform(
+            spans, lambda s: F.slice(w, (s["a"] + 1).cast("int"), (s["b"] - s["a"]).cast("int")))), "")
+
+    # words as an argument: an expression inside the function of spans would be worked out for each of them
+    return F.rtrim(F.transform(F.array(words), joined)[0])
 
 
 def _block_of(place: Column) -> Column:

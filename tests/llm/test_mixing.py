@@ -5,7 +5,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from fenloom.llm import mixing
+from fenloom.llm.common import chunked
 from fenloom.session import cut_lineage
+from tests.compare import moved_columns
 
 
 def test_highest_quotients_against_the_plain_rule(spark):
@@ -89,3 +91,20 @@ def test_empty(no_docs):
     spool = cut_lineage(mixing.sized(no_docs, "doc_id", "source", "text"))
     m = mixing.Mix(spool.drop("row"))
     assert m.rows.count() == 0 and m.take(spool, "text", no_docs.columns).count() == 0
+
+
+def test_texts_of_the_mix_stay_in_place(spark, monkeypatch):
+    """Rows are not shuffled, a cut text is split into words once, and long chunks come as several arrays."""
+    text = [" ".join(f"w{i}_{k}" for k in range(40 + 37 * i % 900)) for i in range(300)]
+    rows = [(i, t, "abc"[i % 3] if i % 7 else None) for i, t in enumerate(text)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    spool = chunked(mixing.sized(docs, "doc_id", "source", "text"), docs.rdd.getNumPartitions(), "sizes")
+    m = mixing.Mix(spool.drop("row", "chunk"))
+    took = m.take(spool, "text", docs.columns)
+    assert moved_columns(took) and not [c for c in moved_columns(took) if "row#" in c]
+    assert "slice(regexp_extract_all" not in took._jdf.queryExecution().optimizedPlan().toString()
+    want = sorted(map(tuple, took.collect()), key=str)
+    words = {r.id: r.taken for r in m.rows.collect()}
+    assert {i: sum(len(r[1].split()) for r in want if r[0] == i) for i in words} == words
+    monkeypatch.setattr(mixing, "RUN", 7)
+    assert sorted(map(tuple, m.take(spool, "text", docs.columns).collect()), key=str) == want

@@ -128,3 +128,16 @@ def test_each_stage_keeps_what_plain_python_keeps(spark):
     model = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
     assert all(r.lossless and r.n_tokens == len(r.ids) and max(r.ids) < model.get_piece_size() for r in got)
     assert Counter(r.doc_id for r in got) == Counter(i for i, _ in mixed.elements())
+
+
+def test_mixing_runs_no_python(spark, monkeypatch):
+    """Neither in its plan nor as a job of its own."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+
+    def refused(*args):
+        raise AssertionError("a Python job")
+
+    monkeypatch.setattr(corpus_pipeline, "return_memory", refused)
+    out = corpus_pipeline.mixed_sources(spark, docs, SF)
+    assert out.count() > 0
+    assert not re.search("Python|Pandas|Arrow", out._jdf.queryExecution().executedPlan().toString())
