@@ -91,10 +91,8 @@ def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The ids of each document under merge-dropout, and whether they decode to its text."""
     return_memory(spark)
     path = public_tokenizers.path("piece_bpe_32k.model")
-    rows = pieces.encode_documents(docs, path)
-    text = F.coalesce("row.text", F.lit(""))
-    return rows.select("row.doc_id", "row.lang", "row.source", F.size("ids").cast("long").alias("n_tokens"), "ids",
-                       (pieces.text_from(F.col("ids"), path) == text).alias("lossless"))
+    rows = pieces.encode_documents(docs, path, check=True)
+    return rows.select("row.doc_id", "row.lang", "row.source", F.size("ids").cast("long").alias("n_tokens"), "ids", "lossless")
 
 
 STAGES = [

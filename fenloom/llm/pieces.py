@@ -260,10 +260,11 @@ def text_from(ids: Column, path: str) -> Column:
 
 
 def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", dropout: float = 0.1,
-                     seed: int = 5, epoch: int = 0) -> DataFrame:
+                     seed: int = 5, epoch: int = 0, check: bool = False) -> DataFrame:
     """(row, ids) for each document; the draw's key is (seed, epoch, id).
 
-    A step of its own, as a column of ids would be worked out again for each use.
+    A step of its own, as a column of ids would be worked out again for each use. ``check`` adds ``lossless``,
+    whether the ids decode to the text: in the same Python worker, where :func:`text_from` takes a second one.
     """
     small_batches(docs.sparkSession)
     row = F.col("row")
@@ -273,7 +274,12 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = pieces(path)
         for b in batches:
-            ids = p.encode(b.column("text").to_pylist(), b.column("key").to_numpy().view(U), dropout)
-            yield pa.RecordBatch.from_arrays([b.column("row"), _lists(*ids)], names=["row", "ids"])
-
-    return rows.mapInArrow(encode, f"row {dict(rows.dtypes)['row']}, ids array<int>")
+            texts = b.column("text").to_pylist()
+            ids, counts = p.encode(texts, b.column("key").to_numpy().view(U), dropout)
+            out = {"row": b.column("row"), "ids": _lists(ids, counts)}
+            if check:
+                ends = np.cumsum(counts)
+                out["lossless"] = pa.array([p.decode(ids[e - n: e]) == (t or "") for t, n, e in zip(texts, counts, ends)], pa.bool_())
+            yield pa.RecordBatch.from_arrays(list(out.values()), names=list(out))
+
+    return rows.mapInArrow(encode, f"row {dict(rows.dtypes)['row']}, ids array<int>" + ", lossless boolean" * check)

@@ -1,3 +1,5 @@
+import re
+
 import numpy as np
 import public_tokenizers
 import pytest
@@ -5,6 +7,7 @@ import sentencepiece
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from fenloom.llm import pieces
 
 PATH = public_tokenizers.path("piece_bpe_32k.model")
@@ -75,3 +78,14 @@ def test_columns(odd_docs, no_docs):
     again = pieces.encode_documents(odd_docs.repartition(1), PATH)
     assert sorted(map(str, again.select("ids").collect())) == sorted(map(str, coded.select("ids").collect()))
     assert pieces.encode_documents(no_docs, PATH).count() == 0
+
+
+def test_checked_in_the_worker_that_encodes(spark, odd_docs):
+    """The pipeline's stage takes one Python worker a task; its ids and its check are those of the two steps."""
+    out = corpus_pipeline.encoded(spark, odd_docs, "")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"MapInArrow|EvalPython", plan)) == 1
+    back = pieces.text_from(F.col("ids"), PATH) == F.coalesce("row.text", F.lit(""))
+    want = pieces.encode_documents(odd_docs, PATH).select("row.doc_id", "ids", back.alias("lossless")).collect()
+    got = out.select("doc_id", "ids", "lossless").collect()
+    assert sorted(map(str, got)) == sorted(map(str, want)) and all(r.lossless for r in got)
