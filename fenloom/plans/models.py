@@ -101,7 +101,7 @@ SELECT obs.term, obs.df::BIGINT AS df, {rnd('obs.ss')} AS ss, {rnd('obs.ss / obs
 
 @query("e16_permanova_factorial_blocked", FACTORIAL)
 def e16(spark, sf):
-    out = P.permanova_terms(bray(spark, sf), sheet(spark, sf),
+    out = P.permanova_terms(bray(spark, sf, tiled=True), sheet(spark, sf),
                             [("treatment",), ("day",), ("treatment", "day")], NPERM, strata="block")
     return rounded(out, "ss", "r2", "f", "p")
 
@@ -151,7 +151,7 @@ SELECT obs.term, obs.df::BIGINT AS df, {rnd('obs.ss')} AS ss, {rnd('obs.ss / obs
 
 @query("e17_permanova_nested", NESTED)
 def e17n(spark, sf):
-    out = P.permanova_terms(bray(spark, sf), sheet(spark, sf), [("treatment",), ("treatment", "day")], NPERM)
+    out = P.permanova_terms(bray(spark, sf, tiled=True), sheet(spark, sf), [("treatment",), ("treatment", "day")], NPERM)
     return rounded(out, "ss", "r2", "f", "p")
 
 
