@@ -125,7 +125,7 @@ SELECT contrast, {rnd('sst')} AS sst, {rnd('ssw')} AS ssw, {rnd('1 - ssw / sst')
 
 @query("e17_pairwise_permanova", PAIRWISE)
 def e17(spark, sf):
-    out = P.pairwise_permanova(bray(spark, sf), sheet(spark, sf), "treatment", NPERM)
+    out = P.pairwise_permanova(bray(spark, sf, tiled=True), sheet(spark, sf), "treatment", NPERM)
     return rounded(out, "sst", "ssw", "r2", "f", "p")
 
 
