@@ -197,7 +197,7 @@ def e14z(spark, sf):
 SELECT (a - 1)::BIGINT AS df1, (nn - a)::BIGINT AS df2, {rnd('ssb')} AS ss_between, {rnd('ssw')} AS ss_within,
   {rnd('(ssb / (a - 1)) / (ssw / (nn - a))', 4)} AS f FROM t"""))
 def e14c(spark, sf):
-    out = P.dispersion(bray(spark, sf), sheet(spark, sf), "treatment", center="centroid").drop("p")
+    out = P.dispersion(bray(spark, sf, tiled=True), sheet(spark, sf), "treatment", center="centroid").drop("p")
     return rounded(rounded(out, "ss_between", "ss_within"), "f", digits=4)
 
 
