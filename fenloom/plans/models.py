@@ -187,7 +187,7 @@ zz AS (SELECT sample_id, g, sqrt(abs(s / n - w / (n * n))) AS z FROM per JOIN gr
 @query("e14_dispersion_distances", with_(PART_COUNTS, SHEET, BRAY, CENTROID, body=f"""
 SELECT sample_id, g AS "group", {rnd('z')} AS z FROM zz"""))
 def e14z(spark, sf):
-    return rounded(P.centroid_distances(bray(spark, sf), sheet(spark, sf), "treatment"), "z")
+    return rounded(P.centroid_distances(bray(spark, sf, tiled=True), sheet(spark, sf), "treatment"), "z")
 
 
 @query("e14_dispersion_centroid", with_(PART_COUNTS, SHEET, BRAY, CENTROID,
