@@ -153,6 +153,11 @@ def _at(df: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({"m": [digamma(x) - math.log(x) for x in half], "v": [trigamma(x) for x in half]})
 
 
+def _exp(x: float) -> float:
+    """Infinite where it is too large, as for variances with next to no degrees of freedom: t is 0 then."""
+    return math.exp(x) if x < 709 else math.inf
+
+
 def moderate(fit: DataFrame) -> DataFrame:
     """Moderated t of :func:`block_contrasts`: degrees of freedom may differ by feature and contrast.
 
@@ -168,10 +173,10 @@ def moderate(fit: DataFrame) -> DataFrame:
     left = (s["v"] or 0.0) - (s["noise"] or 0.0)
     if left > 0:
         d0 = 2 * trigamma_inverse(left)
-        s02 = math.exp(s["m"] + digamma(d0 / 2) - math.log(d0 / 2))
+        s02 = _exp(s["m"] + digamma(d0 / 2) - math.log(d0 / 2))
         post = (F.lit(d0 * s02) + F.col("df_s2") * F.col("s2")) / (F.lit(d0) + F.col("df_s2"))
     else:
-        d0, s02 = math.inf, math.exp(s["m"] or 0.0)
+        d0, s02 = math.inf, _exp(s["m"] or 0.0)
         post = F.lit(s02)
     total = F.least(F.lit(d0) + F.col("df"), F.lit(float(s["pool"] or 0.0)))
     out = fit.withColumn("s2_post", post).withColumn("t", F.col("log_fc") / (F.sqrt("s2_post") * F.col("unscaled")))
